@@ -16,7 +16,6 @@ once.  An empty table on either side gives no hits.  Extra columns are not read
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, joined, map_arrow, slices
+from .common import id_text, joined, map_arrow, materialise, slices
 
 WINDOW = 10
-#: Bytes of item text that one set of tables holds.  More text makes more sets, each searched in turn.
+#: Bytes of item text that one block of the benchmark holds: what is broadcast at a time is some ten times that.
 BLOCK_BYTES = 8 << 20
+STRETCHES = "array<struct<a:bigint,b:bigint>>"
 #: Bytes of a document that one reading position covers.
 SEGMENT = 4096
 
@@ -41,23 +41,26 @@ def normalised(text: str | None) -> bytes:
     return b" ".join((text or "").encode().translate(_FOLD).split())
 
 
-def windows(words: list[bytes]) -> Iterator[bytes]:
-    if 0 < len(words) < WINDOW:
-        yield b" " + b" ".join(words) + b" "
-    for i in range(len(words) - WINDOW + 1):
-        yield b" " + b" ".join(words[i : i + WINDOW]) + b" "
-
-
 @dataclass
 class Table:
-    """Wu-Manber tables for windows whose length is at least m."""
+    """Wu-Manber tables for windows of m bytes at least; a window is a range of the items' text."""
 
     m: int
     block: int
     bits: int
-    shift: np.ndarray
-    buckets: dict[bytes, list[tuple[bytes, list[int]]]]
+    shift: np.ndarray  # by a block's hash: how far the reading position may move
     mask: np.uint64  # the bytes of an 8-byte read that belong to the block
+    suffix: np.ndarray  # sorted: the block that ends each window's first m bytes
+    start: np.ndarray
+    end: np.ndarray
+    words: np.ndarray
+    item: np.ndarray
+    text: bytes
+
+
+def _eights(text: bytes) -> np.ndarray:
+    """The 8 bytes from each place on, as an integer; the text's last 8 bytes are spare."""
+    return np.ndarray(shape=(len(text) - 7,), dtype="<u8", buffer=np.frombuffer(text, dtype=np.uint8), strides=(1,))
 
 
 def _hash(blocks: np.ndarray, bits: int) -> np.ndarray:
@@ -66,54 +69,67 @@ def _hash(blocks: np.ndarray, bits: int) -> np.ndarray:
 
 
 def build_tables(items: list[tuple[int, str | None]]) -> list[Table]:
-    """Tables for the distinct windows of all items, by classes of length."""
-    owners: dict[bytes, list[int]] = defaultdict(list)
+    """Tables for the windows of all items, by classes of length; some 30 bytes for each window beside the text."""
+    parts, spans, base = [], [], 0
     for item, text in items:
-        for window in windows(normalised(text).split()):
-            if not owners[window] or owners[window][-1] != item:
-                owners[window].append(item)
-    classes: dict[int, list[bytes]] = defaultdict(list)
-    for window in owners:
-        classes[min(5, len(window).bit_length() - 1)].append(window)  # 32 bytes and more share a table
+        words = normalised(text)
+        if not words:
+            continue
+        part = b" " + words + b" "
+        gaps = np.flatnonzero(np.frombuffer(part, dtype=np.uint8) == 32) + base
+        n = min(WINDOW, len(gaps) - 1)
+        first = gaps[: len(gaps) - n]
+        spans.append(np.stack([first, gaps[n:] + 1, np.full(len(first), n), np.full(len(first), item)]))
+        parts.append(part)
+        base += len(part)
+    if not parts:
+        return []
+    text = b"".join(parts) + b"\0" * 8
+    eights = _eights(text)
+    start, end, words, item = np.concatenate(spans, axis=1)
+    size = np.minimum(end - start, 32)  # 32 bytes and more share a table
     tables = []
-    for _, found in sorted(classes.items()):
-        m = min(map(len, found))
+    for low in (2, 4, 8, 16, 32):
+        mine = np.flatnonzero((size >= low) & (size < 2 * low))
+        if not len(mine):
+            continue
+        m = int((end - start)[mine].min())
         block = min(8, max(2, m // 2))
-        bits = min(22, max(10, (4 * len(found) * (m - block + 1)).bit_length()))
-        mask = np.uint64((1 << (8 * block)) - 1 if block < 8 else 0xFFFFFFFFFFFFFFFF)
-        heads = np.frombuffer(b"".join(w[:m].ljust(m + 8, b"\0") for w in found), dtype=np.uint8).reshape(len(found), m + 8)
+        bits = min(22, max(10, (4 * len(mine) * (m - block + 1)).bit_length()))
+        mask = np.uint64((1 << (8 * block)) - 1)
         shift = np.full(1 << bits, m - block + 1, dtype=np.int32)
         for j in range(m - block + 1):  # later places of a block allow less; they come last
-            blocks = np.ascontiguousarray(heads[:, j : j + 8]).view("<u8")[:, 0] & mask
-            shift[_hash(blocks, bits)] = m - block - j
-        buckets: dict[bytes, list[tuple[bytes, list[int]]]] = defaultdict(list)
-        for window in found:
-            buckets[window[m - block : m]].append((window, owners[window]))
-        tables.append(Table(m, block, bits, shift, dict(buckets), mask))
+            shift[_hash(eights[start[mine] + j] & mask, bits)] = m - block - j
+        suffix = eights[start[mine] + m - block] & mask
+        order = np.argsort(suffix, kind="stable")
+        mine = mine[order]
+        tables.append(Table(m, block, bits, shift, mask, suffix[order], start[mine], end[mine], words[mine], item[mine], text))
     return tables
 
 
-def occurrences(table: Table, text: bytes) -> Iterator[tuple[int, bytes, list[int]]]:
-    """(place, window, items) of each window of the table in the text.
+def occurrences(table: Table, text: bytes) -> Iterator[tuple[int, int, int]]:
+    """(place, words, item) of each window of the table in the text, whose last 8 bytes are spare.
 
-    text ends with 8 spare bytes.  Every segment has a cursor on the end of the block to read; a cursor stops at
-    the end of its segment, where the next one's first place begins.
+    Every segment has a cursor; a cursor stops where the next segment's first place begins.
     """
-    n = len(text) - 8
-    last = n - table.m  # the last place where a window can begin
+    last = len(text) - 8 - table.m  # the last place where a window can begin
     if last < 0:
         return
-    raw = np.frombuffer(text, dtype=np.uint8)
-    blocks = np.ndarray(shape=(n + 1,), dtype="<u8", buffer=raw, strides=(1,))
+    eights = _eights(text)
     at = np.arange(0, last + 1, SEGMENT, dtype=np.int64)
     stop = np.minimum(at + SEGMENT, last + 1)
     back = table.m - table.block
     while len(at):
-        move = table.shift[_hash(blocks[at + back] & table.mask, table.bits)]
-        for place in at[move == 0].tolist():
-            for window, items in table.buckets.get(text[place + back : place + table.m], ()):
-                if text.startswith(window, place):
-                    yield place, window, items
+        blocks = eights[at + back] & table.mask
+        move = table.shift[_hash(blocks, table.bits)]
+        found = np.flatnonzero(move == 0)
+        if len(found):
+            low = np.searchsorted(table.suffix, blocks[found], side="left")
+            high = np.searchsorted(table.suffix, blocks[found], side="right")
+            for place, a, b in zip(at[found].tolist(), low.tolist(), high.tolist(), strict=True):
+                for w in range(a, b):
+                    if text.startswith(table.text[table.start[w] : table.end[w]], place):
+                        yield place, int(table.words[w]), int(table.item[w])
         at = at + np.maximum(move, 1)
         on = at < stop
         if not on.all():
@@ -158,20 +174,23 @@ def find(tables: list[Table], data: bytes, offsets: np.ndarray) -> tuple[np.ndar
     items: dict[int, set[int]] = defaultdict(set)
     owner = np.flatnonzero(counts)  # documents that have places of their own
     for table in tables:
-        for place, window, ids in occurrences(table, text):
+        for place, words, item in occurrences(table, text):
             doc = int(owner[np.searchsorted(first[owner], place, side="right") - 1])
             begin = text.count(b" ", int(first[doc]), place + 1) - 1
-            stretches[doc].append((begin, begin + window.count(b" ") - 1))
-            items[doc].update(ids)
+            stretches[doc].append((begin, begin + words))
+            items[doc].add(item)
     return counts, stretches, items
 
 
-def covered(stretches: list[tuple[int, int]]) -> int:
-    total, reach = 0, -1
+def merged(stretches: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Stretches in order, overlapping and touching ones as one."""
+    out: list[dict[str, int]] = []
     for a, b in sorted(stretches):
-        total += max(0, b - max(a, reach))
-        reach = max(reach, b)
-    return total
+        if out and a <= out[-1]["b"]:
+            out[-1]["b"] = max(out[-1]["b"], b)
+        else:
+            out.append({"a": a, "b": b})
+    return out
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
@@ -188,30 +207,38 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text") -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, items (sorted as strings)."""
+    """One row for each document: doc_id, n_words, n_hit, items (sorted as strings).
+
+    One block of the benchmark is broadcast at a time.  A benchmark of several blocks takes a pass for each; what a
+    pass has found goes on to the next through shared scratch.
+    """
     spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(build_tables(block)) for block in _blocks(benchmark, item_col, item_text)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            data, offsets = joined(part.column("text"))
-            stretches, items = defaultdict(list), defaultdict(set)
-            counts = collapse(data, offsets)[2] if not held else None
-            for tables in held:
-                counts, more, ids = find(tables.value, data, offsets)
-                for doc, x in more.items():
-                    stretches[doc] += x
-                    items[doc] |= ids[doc]
-            hit = np.zeros(part.num_rows, dtype=np.int64)
-            for doc, x in stretches.items():
-                hit[doc] = covered(x)
-            named = [sorted(map(str, items[i])) if i in items else [] for i in range(part.num_rows)]
-            yield pa.record_batch(
-                [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hit), pa.array(named, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "n_hit", "items"],
-            )
-
-    return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, n_words long, n_hit long, items array<string>")
+    found = f"stretches {STRETCHES}, items array<string>"
+    rows = id_text(docs, id_col, text_col).withColumns({"stretches": F.array().cast(STRETCHES), "items": F.array().cast("array<string>")})
+    blocks = list(_blocks(benchmark, item_col, item_text)) or [[]]
+    for nth, block in enumerate(blocks):
+        held, last = spark.sparkContext.broadcast(build_tables(block)), nth == len(blocks) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "text"):
+                data, offsets = joined(part.column("text"))
+                counts, stretches, items = find(held.value, data, offsets)
+                told = part.column("items").to_pylist()
+                known = part.column("stretches").to_pylist()
+                for doc, x in stretches.items():
+                    known[doc] = merged([(y["a"], y["b"]) for y in known[doc]] + x)
+                    told[doc] = sorted({*told[doc], *map(str, items[doc])})
+                ids, kind = pa.array(told, pa.list_(pa.string())), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+                if last:
+                    hit = [sum(y["b"] - y["a"] for y in x) for x in known]
+                    yield pa.record_batch([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), ids], ["doc_id", "n_words", "n_hit", "items"])
+                else:
+                    yield pa.record_batch([part.column("doc_id"), part.column("text"), pa.array(known, kind), ids], ["doc_id", "text", "stretches", "items"])
+
+        if last:
+            return map_arrow(rows, run, "doc_id long, n_words long, n_hit long, items array<string>")
+        rows = materialise(map_arrow(rows, run, "doc_id long, text binary, " + found), "hits")
+    raise AssertionError("there is one block at least")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
@@ -227,20 +254,17 @@ def digest_columns(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text") -> DataFrame:
     """The documents without a hit, with all their columns; nothing shuffles."""
-    spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(build_tables(block)) for block in _blocks(benchmark, item_col, item_text)]
     at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, at):
-            data, offsets = joined(part.column(at))
-            clean = np.ones(part.num_rows, dtype=bool)
-            for tables in held:
-                clean[list(find(tables.value, data, offsets)[1])] = False
-            yield part.filter(pa.array(clean))
-
-    return map_arrow(docs, run, docs.schema)
-
-
-def sha_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    rows = docs
+    for block in _blocks(benchmark, item_col, item_text):
+        held = docs.sparkSession.sparkContext.broadcast(build_tables(block))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, at):
+                data, offsets = joined(part.column(at))
+                clean = np.ones(part.num_rows, dtype=bool)
+                clean[list(find(held.value, data, offsets)[1])] = False
+                yield part.filter(pa.array(clean))
+
+        rows = map_arrow(rows if rows is docs else materialise(rows, "clean"), run, docs.schema)
+    return rows

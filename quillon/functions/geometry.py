@@ -48,33 +48,44 @@ def of_polygon(points: Column) -> Column:
 
 def to_original(b: Column, angle: Column, width: Column, height: Column) -> Column:
     """A box on an image turned clockwise by 0, 90, 180 or 270 degrees, on the unturned width x height image."""
-    x1, y1, x2, y2 = b["x1"], b["y1"], b["x2"], b["y2"]
-    turned = (
-        F.when(angle == 90, box(y1, height - x2, y2, height - x1))
-        .when(angle == 180, box(width - x2, height - y2, width - x1, height - y1))
-        .when(angle == 270, box(width - y2, x1, width - y1, x2))
-        .otherwise(b)
-    )
-    return clamped(turned, width, height)
+
+    def turn(x: Column) -> Column:
+        x1, y1, x2, y2 = x["x1"], x["y1"], x["x2"], x["y2"]
+        return (
+            F.when(angle == 90, box(y1, height - x2, y2, height - x1))
+            .when(angle == 180, box(width - x2, height - y2, width - x1, height - y1))
+            .when(angle == 270, box(width - y2, x1, width - y1, x2))
+            .otherwise(x)
+        )
+
+    return clamped(bound(b, turn), width, height)
 
 
 def from_original(b: Column, angle: Column, width: Column, height: Column) -> Column:
     """The inverse of to_original()."""
-    x1, y1, x2, y2 = b["x1"], b["y1"], b["x2"], b["y2"]
-    turned = (
-        F.when(angle == 90, box(height - y2, x1, height - y1, x2))
-        .when(angle == 180, box(width - x2, height - y2, width - x1, height - y1))
-        .when(angle == 270, box(y1, width - x2, y2, width - x1))
-        .otherwise(b)
-    )
+
+    def turn(x: Column) -> Column:
+        x1, y1, x2, y2 = x["x1"], x["y1"], x["x2"], x["y2"]
+        return (
+            F.when(angle == 90, box(height - y2, x1, height - y1, x2))
+            .when(angle == 180, box(width - x2, height - y2, width - x1, height - y1))
+            .when(angle == 270, box(y1, width - x2, y2, width - x1))
+            .otherwise(x)
+        )
+
     quarter = angle.isin(90, 270)
-    return clamped(turned, F.when(quarter, height).otherwise(width), F.when(quarter, width).otherwise(height))
+    return clamped(bound(b, turn), F.when(quarter, height).otherwise(width), F.when(quarter, width).otherwise(height))
+
+
+def bound(x: Column, f) -> Column:
+    """f(x) with x computed once: nested expressions would repeat it in every place."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def clamped(b: Column, width: Column, height: Column) -> Column:
     inside = lambda v, most: F.greatest(F.lit(0), F.least(v, most))
-    out = box(inside(b["x1"], width), inside(b["y1"], height), inside(b["x2"], width), inside(b["y2"], height))
-    return F.when(valid(out), out)
+    cut = lambda x: box(inside(x["x1"], width), inside(x["y1"], height), inside(x["x2"], width), inside(x["y2"], height))
+    return bound(bound(b, cut), lambda x: F.when(valid(x), x))
 
 
 def centre(b: Column) -> tuple[Column, Column]:

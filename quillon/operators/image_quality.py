@@ -65,7 +65,8 @@ def sniff(content: Column) -> Column:
 
 
 def admitted(files: DataFrame) -> DataFrame:
-    """binaryFile rows with sha256, format and reject_reason (null: admitted)."""
+    """binaryFile rows with sha256, format and reject_reason (null: admitted).  Spark's file source gives no row for
+    an empty file; rows from elsewhere may be empty."""
     kind = sniff(F.col("content"))
     reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too_large").when(kind.isNull(), "not_an_image")
     return files.select("path", "length", F.sha2("content", 256).alias("image_sha256"), kind.alias("format"), reason.alias("reject_reason"))

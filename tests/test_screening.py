@@ -160,7 +160,7 @@ def test_limiter_matches_a_plain_loop(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = [("a", float(60 * i), i) for i in range(5)] + [("a", 61.0, 9)]
+    rows = [("a", 1000.0 + 60 * i, i) for i in range(5)] + [("a", 1061.0, 9)]
     df = spark.createDataFrame(rows, "key string, ts double, seq long").withColumn("event_time", F.timestamp_seconds("ts"))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     events = audit.read_events(spark, str(tmp_path / "in"), df.schema)
@@ -229,9 +229,10 @@ def test_image_gate(spark):
 def test_upload_admission(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"0" * 20)
     (tmp_path / "b.txt").write_bytes(b"hello")
-    (tmp_path / "c.jpg").write_bytes(b"")
     got = {r.path[-5:]: (r.format, r.reject_reason) for r in image_quality.admitted(tables.read_uploads(spark, str(tmp_path))).collect()}
-    assert got == {"a.png": ("PNG", None), "b.txt": (None, "not_an_image"), "c.jpg": (None, "empty")}
+    assert got == {"a.png": ("PNG", None), "b.txt": (None, "not_an_image")}
+    none = spark.createDataFrame([("x", 0, bytearray(b""))], "path string, length long, content binary")
+    assert image_quality.admitted(none).first().reject_reason == "empty"
 
 
 def test_empty_ledger(spark):

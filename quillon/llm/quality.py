@@ -36,7 +36,9 @@ OVERLAP = 128
 TRAIN_ROWS = 2000
 #: Bytes of a training row's text that one pass looks at: whole chunks, dealt over the whole text.
 TRAIN_CHUNKS = 12
-EPOCHS = 8
+#: Training steps of BATCH rows, in as many passes over the sample as they take.
+STEPS = 500
+BATCH = 32
 CUT = 0.3
 
 
@@ -120,11 +122,10 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
     m = [np.zeros_like(p) for p in params]
     v = [np.zeros_like(p) for p in params]
     step = 0
-    for epoch in range(EPOCHS):
+    for _ in range(-(-STEPS // -(-len(texts) // BATCH))):
         order = draw.permutation(len(texts))
-        rate = 0.02 * 0.7**epoch
-        for b in range(0, len(order), 32):
-            some = [i for i in order[b : b + 32] if texts[i]]
+        for b in range(0, len(order), BATCH):
+            some = [i for i in order[b : b + BATCH] if texts[i]]
             if not some:
                 continue
             begins, ends, docs, blob, base = [], [], [], [], 0
@@ -176,6 +177,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
                 np.add.at(g_filters[t], (raw[where + t], f), g_act)
             grads = [g_filters, g_act.sum(axis=0), g_head + 1e-4 * net.head, np.array([err.sum()], np.float32)]
             step += 1
+            rate = 0.02 * 0.06 ** (step / STEPS)
             for q, g, mm, vv in zip(params, grads, m, v, strict=True):
                 mm += 0.1 * (g - mm)
                 vv += 0.01 * (g * g - vv)

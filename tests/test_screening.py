@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quillon import schemas
 from quillon.functions import canonical, geometry, text
-from quillon.operators import corrections, evaluate, export, image_quality, ledger, limiter, reconcile
-from quillon.sources import rules, tables
+from quillon.operators import corrections, evaluate, export, image_quality, ledger, limiter, reconcile, records
+from quillon.sources import readers, rules, tables
 from quillon.streaming import audit
 from quillon.streaming import limiter as stream_limiter
 
@@ -240,3 +240,35 @@ def test_empty_ledger(spark):
     assert ledger.counts_zero_filled(none, "s", ("a",)).collect() == [("a", 0)]
     assert ledger.daily_counts(none, "created_at").count() == 0
     assert ledger.with_latest(none.select("k"), none, "k", "seq", "s").count() == 0
+
+
+def test_records(spark):
+    schema = schemas.schema("inspections")
+    row = {f.name: None for f in schema.fields} | {"inspection_id": 1, "extracted_fields": {"mrp": {"text": "₹1", "confidence": 0.98765, "box": (0, 0, 0, 0), "source": "odd"}, "net_quantity": {"text": "", "confidence": 0.5, "box": None, "source": "gemini"}}}
+    df = spark.createDataFrame([tuple(row[f.name] for f in schema.fields)], schema)
+    got = {r.field: r for r in records.fields_long(df).collect()}
+    assert len(got) == 14 and (got["mrp"].confidence, got["mrp"].box, got["mrp"].source) == (0.988, None, "ocr")
+    assert got["net_quantity"].confidence == 0.0 and got["packer_name"].text == ""
+    reviews = spark.createDataFrame([(1, 1, "REVIEWED", "a", None, "t"), (2, 1, "APPROVED", "b", None, "t")], schemas.schema("reviews"))
+    none = spark.createDataFrame([], schemas.schema("corrections")), spark.createDataFrame([], schemas.schema("audit_events"))
+    one = records.detail(df, reviews, *none).first()
+    assert one.review_status == "APPROVED" and one.corrections == [] and one.audit == []
+    item = records.history_item(df.withColumn("review_status", F.lit("NOT_REVIEWED"))).first()
+    assert (item.quality_status, item.package_scope) == ("unknown", "unknown")
+
+
+def test_readers(spark):
+    assert readers.Settings.from_env({"READER_TIMEOUT": "900", "READER_RPM": "x", "READER_MODELS": "a, b,,a"}) == readers.Settings(45, 10, 2, ("a", "b"))
+    words = spark.createDataFrame([(1, '[{"text":"MRP","confidence":0.9,"polygon":[{"x":1.2,"y":2},{"x":9.5,"y":8}]}]'), (2, "oops")], "k long, p string")
+    got = readers.parse_words(words, "k", "p").collect()
+    assert [(r.text, tuple(r.box)) for r in got if r.text] == [("MRP", (1, 2, 10, 8))]
+    told = spark.createDataFrame([(5, '[{"field":"mrp","raw_text":"₹1","readable":true,"model_score":0.9,"bbox_2d":[1,2,3,4],"evidence_text":"MRP ₹1"},{"field":"mrp","bbox_2d":[1]}]')], "inspection_id long, result string")
+    rows = readers.candidates(told).collect()
+    assert tuple(rows[0].nbox) == (1, 2, 3, 4) and rows[1].nbox is None and rows[1].cand_idx == 1
+
+    def read(frame):
+        import pandas as pd
+
+        return pd.DataFrame({"image_sha256": frame["image_sha256"], "model": "m", "schema_version": "v", "status": "ok", "result": "[]", "safe_error": None, "duration_ms": 1.0})
+
+    assert readers.call(spark.createDataFrame([("a",), ("a",), ("b",)], "image_sha256 string"), read).count() == 2

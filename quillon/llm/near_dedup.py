@@ -12,8 +12,10 @@ Two documents link if 100 * |intersection| >= 85 * |union|.
 3. Bands of 4 places make keys.  In each key's bucket the least representative is the pivot; members are
    compared with it on full shingle sets (a star, not all pairs).  Links found are merged by union-find.
 4. Buckets whose members still lie in several components are finished exactly: every member outside the
-   bucket's largest component meets the members of other components; a 1-bit sketch and the set sizes rule
-   out pairs that can't reach 0.85, the rest are compared on full sets.  Nothing is capped.
+   bucket's largest component meets the members of other components.  An odd sketch (the parity of how many
+   elements hash to each of 1024 places) gives a lower bound of the symmetric difference: a pair whose sketches
+   differ in more places than 0.85 allows can't link and is not emitted; the rest are compared on full sets.
+   Nothing is capped, and the bound loses no link.
 
 A pair at similarity 0.85 misses all 20 bands with probability 4e-7, at 0.9 with 5e-10.
 doc_id is taken to be unique: rows that repeat it are separate documents under one id, and links of either
@@ -25,12 +27,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -41,9 +44,8 @@ SHINGLE = 5
 PERCENT = 85
 PLACES = 80
 BAND = 4
-#: Sketch bits in which a pair may differ.  At 0.85 a bit differs with probability 0.075: 6 expected of 80,
-#: 20 is six standard deviations more.
-SKETCH_DIFFER = 20
+SKETCH = 1024
+WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
@@ -109,13 +111,13 @@ def superminhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
 
 
 def signature_columns(sets: list[np.ndarray]) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
-    """Set digests, two 64-bit words of 1-bit sketch, and band keys."""
+    """Set digests, the 64-bit words of the odd sketch, and band keys."""
     signature = superminhash(sets)
     digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-    low = (mix64(signature, 3) & np.uint64(1)).astype(np.uint8)
-    bits = np.zeros((len(sets), 128), dtype=np.uint8)
-    bits[:, :PLACES] = low
-    sketch = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = (np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(SKETCH - 1)).astype(np.int64)
+    odd = (np.bincount(doc * SKETCH + place, minlength=len(sets) * SKETCH) & 1).astype(np.uint8)
+    sketch = np.packbits(odd.reshape(len(sets), SKETCH), axis=1, bitorder="little").view("<i8")
     keys = np.zeros((len(sets), PLACES // BAND), dtype=np.uint64)
     for band in range(PLACES // BAND):
         key = np.full(len(sets), np.uint64(band))
@@ -126,7 +128,7 @@ def signature_columns(sets: list[np.ndarray]) -> tuple[list[bytes | None], np.nd
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, digest, sketch and band keys of each document, written to shared scratch."""
+    """doc_id, n, digest, band keys and sketch words of each document, written to shared scratch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -134,11 +136,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             digest, sketch, keys = signature_columns(sets)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.reshape(-1)))
             yield pa.record_batch(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), bands],
-                ["doc_id", "n", "digest", "s1", "s2", "bands"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), bands, *(pa.array(sketch[:, i].copy()) for i in range(len(WORDS)))],
+                ["doc_id", "n", "digest", "bands", *WORDS],
             )
 
-    schema = "doc_id long, n long, digest binary, s1 long, s2 long, bands array<long>"
+    schema = "doc_id long, n long, digest binary, bands array<long>" + "".join(f", {w} long" for w in WORDS)
     return materialise(id_text(docs, id_col, text_col).mapInArrow(run, schema), "signatures")
 
 
@@ -180,29 +182,34 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _close(left: str, right: str) -> Column:
+    """Whether sizes and sketches allow the similarity.  100 (a + b - d) >= 85 (a + b + d) bounds the difference d."""
+    c = F.col
+    n1, n2 = c(left + "n"), c(right + "n")
+    differ = reduce(lambda x, y: x + y, (F.bit_count(c(left + w).bitwiseXOR(c(right + w))) for w in WORDS))
+    fits = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT
+    return fits & (differ * (100 + PERCENT) <= (n1 + n2) * (100 - PERCENT))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id."""
+    c = F.col
     rows = signatures(docs, id_col, text_col)
-    some = rows.where(F.col("n") > 0)
-    classes = materialise(
-        some.groupBy("digest").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands")
-        ),
-        "classes",
-    )
-    keyed = classes.where(F.col("rep").isNotNull()).select("rep", "n", "s1", "s2", F.explode("bands").alias("key"))
+    some = rows.where(c("n") > 0)
+    reps = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    # A class's sketch and bands are those of any of its rows: they depend on the set alone.
+    own = some.withColumnRenamed("doc_id", "rep").dropDuplicates(["digest", "rep"])
+    classes = materialise(own.join(reps, ["digest", "rep"]), "classes")
+    facts = classes.where(c("rep").isNotNull()).select("rep", "n", *WORDS)
+    keyed = classes.where(c("rep").isNotNull()).select("rep", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("key", "pivot")
     members = materialise(keyed.join(buckets, "key"), "members")
 
-    def close(n1, n2, s1, t1, s2, t2):
-        differ = F.bit_count(s1.bitwiseXOR(s2)) + F.bit_count(t1.bitwiseXOR(t2))
-        return (differ <= SKETCH_DIFFER) & (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT)
+    def with_facts(pairs: DataFrame, column: str, prefix: str) -> DataFrame:
+        return pairs.join(facts.select(c("rep").alias(column), *(c(x).alias(prefix + x) for x in ("n", *WORDS))), column)
 
-    c = F.col
-    # The pivot's row of a bucket is among its members.
-    pivots = members.where("rep = pivot").dropDuplicates(["key"]).select("key", c("n").alias("pn"), c("s1").alias("p1"), c("s2").alias("p2"))
-    star = members.where("rep <> pivot").join(pivots, "key").where(close(c("n"), c("pn"), c("s1"), c("s2"), c("p1"), c("p2")))
-    star = materialise(star.select(c("pivot").alias("a"), c("rep").alias("b")).distinct(), "star")
+    star = members.where("rep <> pivot").select(c("pivot").alias("a"), c("rep").alias("b")).distinct()
+    star = materialise(with_facts(with_facts(star, "b", "r_"), "a", "l_").where(_close("l_", "r_")).select("a", "b"), "star")
     sets = sets_of(docs, members.select("rep").distinct(), id_col, text_col)
     links = materialise(verified(star, sets), "verified")
     first = materialise(connected_components(links), "components")
@@ -211,19 +218,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     share = placed.groupBy("key", "component").agg(F.count("*").alias("many"))
     mixed = share.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("many", "component")).alias("main")).where("parts > 1")
-    rest = materialise(placed.join(mixed.select("key", "main"), "key").select("key", "rep", "n", "s1", "s2", "component", "main"), "rest")
-    left = rest.where("component <> main").select(*(c(x).alias("l_" + x) for x in ("key", "rep", "n", "s1", "s2", "component")))
-    cross = left.join(
-        rest,
-        (c("l_key") == c("key")) & (c("l_component") != c("component")) & close(c("l_n"), c("n"), c("l_s1"), c("l_s2"), c("s1"), c("s2")),
-    ).select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b"))
-    cross = cross.distinct().join(star, ["a", "b"], "left_anti")
-    more = verified(materialise(cross, "cross"), sets)
+    rest = with_facts(placed.join(mixed.select("key", "main"), "key").select("key", "rep", "component", "main"), "rep", "r_")
+    rest = materialise(rest, "rest")
+    left = rest.where("component <> main").select(c("key").alias("l_key"), c("rep").alias("l_rep"), c("component").alias("l_component"), *(c("r_" + x).alias("l_" + x) for x in ("n", *WORDS)))
+    apart = (c("l_key") == c("key")) & (c("l_component") != c("component"))
+    cross = left.join(rest, apart & _close("l_", "r_")).select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b"))
+    more = verified(materialise(cross.distinct().join(star, ["a", "b"], "left_anti"), "cross"), sets)
     last = materialise(connected_components(links.unionByName(more)), "components")
     for done in (members, star, sets, rest):
         release(done)
 
-    groups = classes.where("size > 1").select("digest", "rep")
+    groups = classes.where("size > 1").select("digest", c("rep"))
     found = rows.select("doc_id", c("n").alias("n_shingles"), "digest").join(groups, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return found.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -72,12 +72,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = flagged(keys, bitmap, False).select(
         "doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
-    rows = flagged(keys, bitmap, True).select("doc_id", "sha")
-    groups = rows.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    same = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy("keep_id"))
-    together = rows.join(groups, "sha").select(
-        "doc_id", "sha", "keep_id", "group_size", ((same == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept")
-    )
+    # Rows of one doc_id and text are counted first, so that a large group meets in pieces; one of them can stay.
+    rows = flagged(keys, bitmap, True).groupBy("sha", "doc_id").agg(F.count("*").alias("copies"))
+    groups = rows.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    nth = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")
+    together = rows.join(groups, "sha").select("doc_id", "sha", "keep_id", "group_size", nth)
+    kept = (F.col("nth") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    together = together.select("doc_id", "sha", "keep_id", "group_size", kept.alias("kept"))
     return alone.unionByName(together)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text, slices
+from .common import id_text, slices, tidied
 from .encoding import encoder, with_end
 
 SIZE = 2048
@@ -107,12 +107,12 @@ class Packer:
         self.docs += [(d, 0, n, n) for d, n in zip(doc_ids, sizes, strict=True)]
         self.ids = np.concatenate([self.ids, ids])
         total = len(self.ids)
-        if not last and total < 2 * self.size:
+        if not total or (not last and total < 2 * self.size):
             return []
         held = np.cumsum([n for _, _, n, _ in self.docs])
         places, fee = candidate_cuts(self.ids, held, self.sentence)
-        path = places[cuts(places, fee, self.size)].tolist() if total else [0]
-        tail = path[-2] if len(path) > 1 else 0
+        path = places[cuts(places, fee, self.size)].tolist()
+        tail = path[-2]
         windows = list(zip(path, path[1:-1], strict=False))
         if last:
             at = tail
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         def rows(found: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names)
 
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 3 << 20):
             ids, ends = with_end(*enc.encode(part.column("text")), end_id)
             found = packer.add(part.column("doc_id").to_pylist(), ids, ends)
             if found:
@@ -167,4 +167,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if found:
             yield rows(found)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_text(docs, id_col, text_col).mapInArrow(tidied(run), SCHEMA)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, tidied
 
 BLOOM_BITS_MAX = 1 << 28
 BITS_PER_KEY = 16
@@ -87,7 +87,7 @@ def build(keys: DataFrame, column: str, at_least: int, n: int) -> np.ndarray:
     rows = (
         keys.select(F.col(column).cast("long"))
         .where(F.col(column).isNotNull())
-        .mapInArrow(emit, "segment int, low binary")
+        .mapInArrow(tidied(emit), "segment int, low binary")
         .groupBy("segment")
         .applyInPandas(count, "segment int, bits binary")
     )

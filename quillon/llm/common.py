@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step holds; bounds a worker's memory whatever the Arrow batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +103,25 @@ def joined(array: pa.Array) -> tuple[bytes, np.ndarray]:
 
 
 def map_arrow(df: DataFrame, fn, schema: StructType | str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(tidied(fn), schema)
+
+
+def tidied(fn):
+    """fn, giving memory back to the system when its partition ends: workers live on and share an executor's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than GNU's
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from .common import joined
 
 #: Stems kept in each of the two generations of the cache.
-GENERATION = 300_000
+GENERATION = 80_000
 
 #: A chunk of letters that NFC leaves alone, then marks that the splitter cuts off as one piece.
 MARKS = ".,;:!?*#$%&|"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, joined, slices
+from .common import id_text, joined, slices, tidied
 
 WIDTH = 4
 STRIDE = 2
@@ -235,7 +235,7 @@ def score_documents(docs: DataFrame, net: Network, id_col="doc_id", text_col="te
             p = score(part.column("text"))
             yield pa.record_batch([ids, pa.array(out), pa.array(p), pa.array((p >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return id_text(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, net: Network, text_col="text") -> DataFrame:
@@ -248,4 +248,4 @@ def keep_good(docs: DataFrame, net: Network, text_col="text") -> DataFrame:
         for part in slices(batches, at, 1 << 20):
             yield part.filter(pa.array(score(part.column(at)) >= CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

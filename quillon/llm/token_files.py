@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, slices
+from .common import id_text, slices, tidied
 from .encoding import encoder, with_end
 
 END_ID = 1
@@ -42,7 +42,7 @@ WRITE_OPTIONS = {
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 3 << 20):
             ids, ends = with_end(*enc.encode(part.column("text")), end_id)
             starts = np.concatenate([[0], ends])
             yield pa.record_batch(
@@ -50,7 +50,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 ["doc_id", "n_tokens", "ids"],
             )
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_text(docs, id_col, text_col).mapInArrow(tidied(run), SCHEMA)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
@@ -96,4 +96,4 @@ def check_columns(spark: SparkSession, path: str) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(sizes), pa.array(crc, pa.int64()), batch.column("file")], ["doc_id", "n_tokens", "ids_crc32", "file"])
 
     rows = read_token_files(spark, path).select("doc_id", "ids", F.input_file_name().alias("file"))
-    return with_starts(rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, file string")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(rows.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_crc32 long, file string")).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 PACKAGE = 6 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
@@ -238,7 +240,7 @@ def write_packages(found: DataFrame, path: str, package_bytes: int = PACKAGE) ->
         if index:
             yield package()
 
-    made = found.mapInArrow(run, "package binary")
+    made = found.mapInArrow(tidied(run), "package binary")
     made.select(F.col("package").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
@@ -263,7 +265,7 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(cols, ARROW, strict=True)], [n for n, _ in ARROW])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.mapInArrow(tidied(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 ARROW = [

@@ -178,7 +178,7 @@ HARD = [
     "4111-1111 11111111 1 4111111111111111 4111 1111  1111 1111 " + "4" * 200,
     "+1 (2) 3-4.5 678 9+12345678-+ +12 +123456789012345 6",
     "a@b.co x 10.1.1.1",
-    "9" * 50_000 + "@" + "a" * 50_000,
+    "9" * 3_000 + "@" + "a" * 3_000,
     "é+49 30 1234567é a@b.de",
 ]
 

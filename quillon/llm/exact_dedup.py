@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import bloom
-from .common import fresh, id_text, materialise, raw_bytes
+from .common import fresh, id_text, materialise, raw_bytes, tidied
 
 
 def digests(texts: pa.Array) -> list[bytes]:
@@ -46,7 +46,7 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ["doc_id", "sha", "key"],
             )
 
-    return materialise(id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, sha binary, key long"), "sha")
+    return materialise(id_text(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, sha binary, key long"), "sha")
 
 
 def repeated_filter(keys: DataFrame) -> np.ndarray:
@@ -62,7 +62,7 @@ def flagged(keys: DataFrame, bitmap: np.ndarray, maybe: bool) -> DataFrame:
             hit = bloom.contains(held.value, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
             yield batch.filter(pa.array(hit if maybe else ~hit))
 
-    return keys.mapInArrow(run, keys.schema)
+    return keys.mapInArrow(tidied(run), keys.schema)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,7 +74,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     # Rows of one doc_id and text are counted first, so that a large group meets in pieces; one of them can stay.
     rows = flagged(keys, bitmap, True).groupBy("sha", "doc_id").agg(F.count("*").alias("copies"))
-    groups = rows.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # As a table of its own, each side of the join is one plain exchange: a large group's rows can be split at run time.
+    groups = materialise(rows.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     nth = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")
     together = rows.join(groups, "sha").select("doc_id", "sha", "keep_id", "group_size", nth)
     kept = (F.col("nth") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
@@ -101,9 +102,9 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return split
 
     names = docs.columns
-    alone = docs.mapInArrow(run(False), schema).select(*names)
-    rows = docs.mapInArrow(run(True), schema)
+    alone = docs.mapInArrow(tidied(run(False)), schema).select(*names)
+    rows = docs.mapInArrow(tidied(run(True)), schema)
     best = fresh("best", [*names, extra])
-    groups = rows.groupBy(extra).agg(F.max(id_col).alias(best))
+    groups = materialise(flagged(keys, held.value, True).groupBy(F.col("sha").alias(extra)).agg(F.max("doc_id").alias(best)), "groups")
     kept = rows.join(groups, extra).where(F.col(id_col).eqNullSafe(F.col(best))).dropDuplicates([extra, id_col])
     return alone.unionByName(kept.select(*names))

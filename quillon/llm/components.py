@@ -1,8 +1,9 @@
 """Connected components of a link table, as a distributed union-find by stars.
 
 Large-star and small-star rounds alternate until the links no longer change (Kiveris et al., 2014).  Both
-are a grouped minimum and a join, so a node with many neighbours is pre-aggregated and, as one side of a
-plain join, can be split; no component is gathered in one task and none reaches the driver.
+are a grouped minimum, pre-aggregated, and a join with it.  The minima are a table of their own, so the join is
+of two plain exchanges, which Spark splits at run time for a node with many neighbours; no component is
+gathered in one task and none reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """links: (u, v), u > v.  Large: each node hands its larger neighbours its least neighbour; small: the smaller ones."""
     if large:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(links.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = links.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
     return out.where("u <> v").distinct()
 
@@ -36,7 +37,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     mark = _mark(now)
     while True:
-        then = materialise(_star(_star(now, True), False), "links")
+        wide = materialise(_star(now, True), "links")
+        then = materialise(_star(wide, False), "links")
+        release(wide)
         new = _mark(then)
         release(now)
         now = then

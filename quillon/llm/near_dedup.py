@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import fresh, id_text, joined, materialise, mix64, release, slices
+from .common import fresh, id_text, joined, materialise, mix64, release, slices, tidied
 from .components import connected_components
 
 SHINGLE = 5
@@ -141,7 +141,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     schema = "doc_id long, n long, digest binary, bands array<long>" + "".join(f", {w} long" for w in WORDS)
-    return materialise(id_text(docs, id_col, text_col).mapInArrow(run, schema), "signatures")
+    return materialise(id_text(docs, id_col, text_col).mapInArrow(tidied(run), schema), "signatures")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -159,7 +159,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
                     [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["doc_id", "shingles"]
                 )
 
-    return materialise(id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, shingles array<long>"), "sets")
+    return materialise(id_text(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, shingles array<long>"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
 def _close(left: str, right: str) -> Column:
@@ -202,7 +202,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(own.join(reps, ["digest", "rep"]), "classes")
     facts = classes.where(c("rep").isNotNull()).select("rep", "n", *WORDS)
     keyed = classes.where(c("rep").isNotNull()).select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("key", "pivot")
+    # As a table of its own, so that the join below is of two plain exchanges and a large bucket can be split.
+    buckets = materialise(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("key", "pivot"), "buckets")
     members = materialise(keyed.join(buckets, "key"), "members")
 
     def with_facts(pairs: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -225,7 +226,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = left.join(rest, apart & _close("l_", "r_")).select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b"))
     more = verified(materialise(cross.distinct().join(star, ["a", "b"], "left_anti"), "cross"), sets)
     last = materialise(connected_components(links.unionByName(more)), "components")
-    for done in (members, star, sets, rest):
+    for done in (buckets, members, star, sets, rest):
         release(done)
 
     groups = classes.where("size > 1").select("digest", c("rep"))
@@ -251,6 +252,6 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return split
 
     name = fresh("gone_id", docs.columns)
-    rest = docs.mapInArrow(run(True), docs.schema).join(gone.withColumnRenamed("doc_id", name), F.col(id_col) == F.col(name), "left_anti")
-    return docs.mapInArrow(run(False), docs.schema).unionByName(rest)
+    rest = docs.mapInArrow(tidied(run(True)), docs.schema).join(gone.withColumnRenamed("doc_id", name), F.col(id_col) == F.col(name), "left_anti")
+    return docs.mapInArrow(tidied(run(False)), docs.schema).unionByName(rest)
 

@@ -5,13 +5,18 @@ A text's canonical form: lower case; copyright lines (a copyright sign, or the w
 turned into one.  Its SHA-256 is hash-joined with the digests of known licence texts, so a document is a licence
 if its entire text is.  Documents also carry notices: lines that are, in canonical form, a known notice.
 
-The known texts are a fixed table of this module (a few dozen rows), which bounds what is broadcast.  A null
-text counts as empty and is no licence.  Each row is treated alone.  Extra columns are not read; an empty
+The known texts are a fixed table: the short ones and the notices here, long ones in known_texts/ (verbatim copies,
+named by SPDX id).  A few thousand rows of digest and id bound what is broadcast.  The text of a GNU licence does
+not say "only" or "or later"; it counts as "only".  A notice without "licen" in its line is known only as an entire
+text.  A null text counts as empty and is no licence.  Each row is treated alone.  Extra columns are not read; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +67,13 @@ following conditions are met:
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
 disclaimer in the documentation and/or other materials provided with the distribution."""
 
+_BSD_THREE = _BSD_TWO + """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission."""
+
+_REGENTS = (_BSD_THREE + "\n" + _BSD_END).replace("name of the copyright holder nor", "name of the University nor")
+_REGENTS = _REGENTS.replace("THE COPYRIGHT HOLDERS AND", "THE REGENTS AND").replace("THE COPYRIGHT HOLDER OR", "THE REGENTS OR")
+
 _ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
 IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
 OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
@@ -74,6 +86,26 @@ the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 {_DISCLAIMER}"""
 
+_TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def _long_texts() -> list[tuple[str, str]]:
+    """The files of known_texts, each also without what follows the end of its terms (how to apply them)."""
+    out = []
+    for file in sorted(resources.files(__package__).joinpath("known_texts").iterdir(), key=lambda x: x.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        out.append((name, text))
+        if _TERMS_END in text:
+            terms = text[: text.index(_TERMS_END)]
+            out += [(name, terms), (name, terms + _TERMS_END)]
+    return out
+
+
+def _unnumbered(text: str) -> str:
+    """The same with bullets for numbers, which the canonical form drops."""
+    return text.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")
+
+
 # Known licence texts (from the public SPDX list), with and without their title.
 TEXTS = [
     ("MIT", _MIT_BODY),
@@ -84,7 +116,13 @@ TEXTS = [
     ("ISC", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_END}"),
     ("ISC", f"ISC License\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_END}"),
     ("0BSD", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n{_ISC_END}"),
+    ("BSD-3-Clause", f"{_BSD_THREE}\n{_BSD_END}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License\n{_BSD_THREE}\n{_BSD_END}"),
+    ("BSD-3-Clause", f"The BSD 3-Clause License\n{_BSD_THREE}\n{_BSD_END}"),
+    ("BSD-3-Clause", _REGENTS),
 ]
+TEXTS += [(name, _unnumbered(text)) for name, text in TEXTS if name.startswith("BSD")]
+TEXTS += _long_texts()
 
 # Known one-line notices.  Each holds "licen" in any spelling, which picks the lines to look at.
 NOTICES = [
@@ -111,6 +149,74 @@ NOTICES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 ]
 
+# The names of each licence in notices, without "the" and a final "License".
+NAMES: dict[str, list[str]] = {
+    "MIT": ["MIT", "MIT (MIT)", "Expat"],
+    "Apache-2.0": ["Apache-2.0", "Apache 2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache License v2.0", "Apache Software License 2.0"],
+    "BSD-2-Clause": ["BSD-2-Clause", "BSD 2-Clause", "2-Clause BSD", "Simplified BSD"],
+    "BSD-3-Clause": ["BSD-3-Clause", "BSD 3-Clause", "3-Clause BSD", "New BSD", "Modified BSD"],
+    "ISC": ["ISC"],
+    "0BSD": ["0BSD", "Zero-Clause BSD"],
+    "MPL-1.1": ["MPL-1.1", "Mozilla Public License 1.1", "Mozilla Public License, Version 1.1", "Mozilla Public License, v. 1.1"],
+    "MPL-2.0": ["MPL-2.0", "MPLv2", "Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0"],
+    "EPL-1.0": ["EPL-1.0", "Eclipse Public License 1.0", "Eclipse Public License v1.0"],
+    "EPL-2.0": ["EPL-2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License v. 2.0"],
+    "BSL-1.0": ["BSL-1.0", "Boost Software License 1.0", "Boost Software License, Version 1.0"],
+    "Zlib": ["zlib"],
+    "Unlicense": ["Unlicense"],
+    "CC0-1.0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "Creative Commons CC0 1.0 Universal"],
+}
+for _short, _long, _versions in (
+    ("GPL", "GNU General Public License", ("1.0", "2.0", "3.0")),
+    ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")),
+    ("LGPL", "GNU Library General Public License", ("2.0",)),
+    ("AGPL", "GNU Affero General Public License", ("3.0",)),
+    ("GFDL", "GNU Free Documentation License", ("1.2", "1.3")),
+):
+    for _version in _versions:
+        _told = [x for v in dict.fromkeys((_version, _version.removesuffix(".0"))) for x in (f"{_short}-{v}", f"{_short}v{v}", f"GNU {_short} v{v}", f"{_long} v{v}", f"{_long}, version {v}")]
+        NAMES[f"{_short}-{_version}-only"] = _told
+        NAMES[f"{_short}-{_version}-or-later"] = [x + " or later" for x in _told]  # not "+", which is no word of the canonical form
+_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+_PORTS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+for _kind, _version in product(("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"), _PORTS):
+    _name, _port = "-".join(_PARTS[x] for x in _kind.split("-")), _PORTS[_version]
+    _told = [f"CC {_kind} {_version}", f"CC {_kind} {_version} {_port}", f"Creative Commons {_kind} {_version}", f"Creative Commons {_name} {_version}", f"Creative Commons {_name} {_version} {_port}"]
+    if "ND" in _kind:
+        _told += [x.replace("NoDerivatives", "NoDerivs") for x in _told if "NoDerivatives" in x]
+    NAMES[f"CC-{_kind}-{_version}"] = _told
+
+# Usual wordings around a name, for any licence and for CC ones only.
+WORDINGS = [
+    *(f"{a} under {b}" for a in ("Licensed", "This work is licensed") for b in ("{}", "the {}", "{} License", "the {} License")),
+    *(f"This {a} is licensed under the {{}} License" for a in ("project", "software", "program", "file")),
+    *(f"{a} under the {{}} License" for a in ("Released", "Distributed", "Available")),
+    "License: {}",
+]
+CC_WORDINGS = [
+    *(f"{a}icensed under a {{}} License" for a in ("L", "This work is l")),
+    *(f"This {a} is licensed under {b}" for a in ("document", "article", "page", "content", "text") for b in ("{}", "a {} License")),
+]
+
+
+def _worded() -> list[tuple[str, str]]:
+    """Notices made of names, SPDX ids and wordings, and the deed addresses of CC licences."""
+    told = []
+    for key, names in NAMES.items():
+        told.append((key, f"SPDX-License-Identifier: {key}"))
+        for name in dict.fromkeys((*names, key)):
+            for form in [*WORDINGS, *CC_WORDINGS] if key.startswith("CC") else WORDINGS:
+                told.append((key, (form.replace(" License", "") if "icense" in name and form.endswith("{} License") else form).format(name)))
+        if key.startswith("CC-"):
+            kind, version = key[3:].lower().rsplit("-", 1)
+            at = f"http://creativecommons.org/licenses/{kind}/{version}/"
+            told += [(key, a + at + b) for a in ("", "License: ", "To view a copy of this license, visit ") for b in ("", "deed.en", "legalcode")]
+            told.append((key, f"To view a copy of this license, visit {at} or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."))
+    return [x for x in dict.fromkeys(told) if "licen" in x[1].lower()]
+
+
+NOTICES += _worded()
+
 
 def canonical(text: Column) -> Column:
     """The canonical form, as words between single blanks."""
@@ -141,7 +247,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lines = F.filter(F.split(F.lower(text), "\n", -1), lambda x: x.contains("licen"))
     told = F.when(F.lower(text).contains("licen"), F.transform(lines, digest)).otherwise(F.array().cast("array<string>"))
     table = {r["sha"]: r["license_id"] for r in known_digests(spark, NOTICES).collect()}  # the fixed table above
-    known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    # As one literal, which the plan folds to a map: thousands of literals are slow to plan.
+    known = F.str_to_map(F.lit(",".join(f"{sha}:{key}" for sha, key in table.items())), F.lit(","), F.lit(":"))
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("canonical_sha256"), told.alias("told"))
     notices = F.filter(F.transform("told", lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
     whole = F.broadcast(known_digests(spark, TEXTS + NOTICES).withColumnRenamed("sha", "canonical_sha256"))  # the fixed tables above

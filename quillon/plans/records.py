@@ -128,6 +128,18 @@ def routed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.routed(rows.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("model"), outcome.alias("outcome")))
 
 
+@query(
+    "WITH a AS (SELECT user_id AS request_id, event_id AS ordinal, event_type AS model, CASE WHEN value >= 200 THEN 'ok' WHEN value < 1 THEN 'stop' WHEN event_type = 'view' THEN 'malformed' ELSE 'transient' END AS outcome FROM events), "
+    "o AS (SELECT *, coalesce(sum(CASE WHEN outcome IN ('ok', 'stop') THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM a) "
+    "SELECT request_id, arg_max(CASE WHEN outcome IN ('ok', 'stop') THEN outcome ELSE 'exhausted' END, ordinal) AS state, arg_max(model, ordinal) AS model, count(*) AS attempts FROM o WHERE done = 0 GROUP BY 1"
+)
+def routed_attempts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """routed_attempts over all events; outcomes follow from value, so that each state occurs."""
+    outcome = F.expr("CASE WHEN value >= 200 THEN 'ok' WHEN value < 1 THEN 'stop' WHEN event_type = 'view' THEN 'malformed' ELSE 'transient' END")
+    rows = read(spark, sf_dir, "events")
+    return readers.routed(rows.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("model"), outcome.alias("outcome")))
+
+
 @query("SELECT user_id FROM (SELECT DISTINCT user_id FROM events) u WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 80)")
 def uncached_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("image_sha256"), F.col("event_type").alias("model"), F.lit("v1").alias("schema_version"), F.when(F.col("value") > 80, "ok").otherwise("error").alias("status"))

@@ -300,6 +300,17 @@ def malformed_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.malformed_vote(rows, ["user_id"], "event_type", "pass")
 
 
+@query(
+    "WITH v AS (SELECT user_id, event_type, count(DISTINCT event_id % 3) AS passes, count(*) AS readings, max(value) AS confidence FROM events GROUP BY 1, 2), "
+    "n AS (SELECT *, row_number() OVER w AS k, lead(passes) OVER w AS p2, lead(readings) OVER w AS r2 FROM v WINDOW w AS (PARTITION BY user_id ORDER BY passes DESC, readings DESC, confidence DESC, event_type)) "
+    "SELECT user_id, CASE WHEN passes = p2 AND readings = r2 THEN NULL ELSE event_type END AS event_type, passes, readings FROM n WHERE k = 1"
+)
+def malformed_vote_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """malformed_vote over all events."""
+    rows = read(spark, sf_dir, "events").select("user_id", "event_type", (F.col("event_id") % 3).alias("pass"), F.col("value").alias("confidence"))
+    return lines.malformed_vote(rows, ["user_id"], "event_type", "pass")
+
+
 @query("SELECT event_type, 'a' AS pass, count(*) AS n FROM events WHERE value > 50 GROUP BY 1 UNION ALL SELECT event_type, 'b', count(*) FROM events WHERE event_id % 2 = 0 GROUP BY 1")
 def union_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select("event_id", "event_type", "value")

@@ -30,3 +30,16 @@ def test_routed_attempts_all(spark):
                 break
     assert rows(spark, "routed_attempts_all") == want
     assert {x[1] for x in want} == {"ok", "stop", "exhausted"}
+
+
+def test_malformed_vote_all(spark):
+    want = set()
+    for user, events in users().items():
+        kinds = defaultdict(list)
+        for e in events:
+            kinds[e["event_type"]].append(e)
+        votes = sorted((-len({e["event_id"] % 3 for e in x}), -len(x), -max(e["value"] for e in x), k) for k, x in kinds.items())
+        first, second = votes[0], (votes + [None])[1]
+        want.add((user, None if second and first[:2] == second[:2] else first[3], -first[0], -first[1]))
+    assert rows(spark, "malformed_vote_all") == want
+    assert any(x[1] is None for x in want) and any(x[1] for x in want)

@@ -20,6 +20,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents link from a similarity of 0.85 on, as in op2; drop_near takes others."""
     return near_dedup.drop_near(docs)
 
 

@@ -2,7 +2,7 @@
 
 A document's set is its distinct 5-word shingles (A-Z lower-cased, words split at ASCII white space); with
 fewer words the whole sequence is the one shingle; without words the set is empty and links with nothing.
-Two documents link if 100 * |intersection| >= 85 * |union|.
+Two documents link if 100 * |intersection| >= percent * |union|; percent is 85 unless given.
 
 1. Each task turns texts into shingle hashes and SuperMinHash signatures (Ertl, 2017): every element draws
    one permutation of the signature's places and offers rank + fraction to each, in order of rank.  Ranks
@@ -14,10 +14,10 @@ Two documents link if 100 * |intersection| >= 85 * |union|.
 4. Buckets whose members still lie in several components are finished exactly: every member outside the
    bucket's largest component meets the members of other components.  An odd sketch (the parity of how many
    elements hash to each of 1024 places) gives a lower bound of the symmetric difference: a pair whose sketches
-   differ in more places than 0.85 allows can't link and is not emitted; the rest are compared on full sets.
+   differ in more places than the percentage allows can't link and is not emitted; the rest are compared on full sets.
    Nothing is capped, and the bound loses no link.
 
-A pair at similarity 0.85 misses all 20 bands with probability 4e-7, at 0.9 with 5e-10.
+A pair at similarity 0.8 misses all 20 bands with probability 3e-5, at 0.85 with 4e-7, at 0.9 with 5e-10.
 doc_id is taken to be unique: rows that repeat it are separate documents under one id, and links of either
 count for that id.  Null texts have no words.  A row with a null doc_id gets the component of its equals, or
 null.  Extra columns pass through drop_near(); an empty table gives an empty result.
@@ -162,7 +162,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
     return materialise(id_text(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, shingles array<long>"), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
@@ -174,24 +174,24 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i in range(batch.num_rows):
                 x, y = (flat[k][ends[k][i] : ends[k][i + 1]] for k in (0, 1))
-                if len(x) and len(y) and min(len(x), len(y)) * 100 >= PERCENT * max(len(x), len(y)):
+                if len(x) and len(y) and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
+                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
-def _close(left: str, right: str) -> Column:
-    """Whether sizes and sketches allow the similarity.  100 (a + b - d) >= 85 (a + b + d) bounds the difference d."""
+def _close(left: str, right: str, percent: int = PERCENT) -> Column:
+    """Whether sizes and sketches allow the similarity.  100 (a + b - d) >= percent (a + b + d) bounds the difference d."""
     c = F.col
     n1, n2 = c(left + "n"), c(right + "n")
     differ = reduce(lambda x, y: x + y, (F.bit_count(c(left + w).bitwiseXOR(c(right + w))) for w in WORDS))
-    fits = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT
-    return fits & (differ * (100 + PERCENT) <= (n1 + n2) * (100 - PERCENT))
+    fits = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+    return fits & (differ * (100 + percent) <= (n1 + n2) * (100 - percent))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id."""
     c = F.col
     rows = signatures(docs, id_col, text_col)
@@ -210,9 +210,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(facts.select(c("rep").alias(column), *(c(x).alias(prefix + x) for x in ("n", *WORDS))), column)
 
     star = members.where("rep <> pivot").select(c("pivot").alias("a"), c("rep").alias("b")).distinct()
-    star = materialise(with_facts(with_facts(star, "b", "r_"), "a", "l_").where(_close("l_", "r_")).select("a", "b"), "star")
+    star = materialise(with_facts(with_facts(star, "b", "r_"), "a", "l_").where(_close("l_", "r_", percent)).select("a", "b"), "star")
     sets = sets_of(docs, members.select("rep").distinct(), id_col, text_col)
-    links = materialise(verified(star, sets), "verified")
+    links = materialise(verified(star, sets, percent), "verified")
     first = materialise(connected_components(links), "components")
 
     # Buckets that still hold several components.
@@ -223,8 +223,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = materialise(rest, "rest")
     left = rest.where("component <> main").select(c("key").alias("l_key"), c("rep").alias("l_rep"), c("component").alias("l_component"), *(c("r_" + x).alias("l_" + x) for x in ("n", *WORDS)))
     apart = (c("l_key") == c("key")) & (c("l_component") != c("component"))
-    cross = left.join(rest, apart & _close("l_", "r_")).select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b"))
-    more = verified(materialise(cross.distinct().join(star, ["a", "b"], "left_anti"), "cross"), sets)
+    cross = left.join(rest, apart & _close("l_", "r_", percent)).select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b"))
+    more = verified(materialise(cross.distinct().join(star, ["a", "b"], "left_anti"), "cross"), sets, percent)
     last = materialise(connected_components(links.unionByName(more)), "components")
     for done in (buckets, members, star, sets, rest):
         release(done)
@@ -234,9 +234,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One document of each component stays (the least doc_id), with all its columns."""
-    found = near_components(docs, id_col, text_col)
+    found = near_components(docs, id_col, text_col, percent)
     gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     held = docs.sparkSession.sparkContext.broadcast(bloom.build(gone, "doc_id", 1, gone.count()))
     at = docs.columns.index(id_col)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical, geometry, text
 from ..operators import corrections as fixes
 from ..operators import evaluate, ledger, limiter, lines, reconcile
+from ..operators.panel import shapes
 from ..sources import rules as rule_source
 from ..sources.tables import read
 from .standins import BOXES, CONTEXTS, CORRECTIONS, EVIDENCE, frame, plain
@@ -480,6 +481,38 @@ def contact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(run), 0)).alias("email")).withColumn("email", F.lower("email"))
 
 
+_RUN = r"[A-Z0-9._%+\-]"
+#: The panel's shapes of contacts.  The first word boundary of a run decides whether an address starts in it, so others aren't tried.
+#: Before each, a sign that every line with one has.
+_CONTACTS = {
+    "email": ("@", rf"(?:\G|(?<!{_RUN}))(?>{_RUN}*?\b)", rf"{_RUN}++@[A-Z0-9.-]+\.[A-Z]{{2,}}\b"),
+    "web": (r"(?i)www\.", "", shapes.WEB.pattern),
+    "phone": (r"(?U)\d{3}[\s-]*\d{3}", "", shapes.PHONE.pattern),
+}
+
+
+@query()
+def contact_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses, web addresses and phone numbers of documents and pages, line by line; none within 24 characters of an identifier's label."""
+    texts = read(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").cast("long").alias("id"), "text")
+    texts = texts.unionByName(read(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").cast("long").alias("id"), F.col("html").alias("text")))
+    rows = texts.select("source", "id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).where(F.col("text").rlike(r"(?U)@|\d{3}[\s-]*\d{3}|(?i:www\.)"))
+    found = []
+    for kind, (sign, lead, shape) in _CONTACTS.items():
+        # Group 1 is what stands before, 2 the contact, 3 what stands after.
+        # The look-ahead comes first, so that the look-behind is for contacts only.
+        pattern = F.lit(rf"(?isU){lead}(?={shape})(?<=(^.{{0,23}}|.{{24}}))({shape})(?=(.{{0,24}}))")
+        parts = F.arrays_zip(*(F.regexp_extract_all("text", pattern, i).alias(n) for i, n in ((1, "before"), (2, "found"), (3, "after"))))
+        parts = F.when(F.col("text").rlike(sign), parts)
+        found.append(F.transform(parts, lambda x: F.struct(F.lit(kind).alias("kind"), *(x[n].alias(n) for n in ("before", "found", "after")))))
+    one = rows.select("source", "id", "line", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("c")).select("source", "id", "line", "c.*")
+    one = one.where(~F.concat("before", "found", "after").rlike("(?iU)" + shapes.IDENTIFIER.pattern))
+    digits = F.length(F.regexp_replace("found", r"(?U)\D", ""))
+    right = digits.isin(10, 11) | (F.col("found").startswith("+91") & digits.isin(12, 13))
+    value = F.when(F.col("kind") == "phone", F.regexp_replace("found", r"(?U)\s+", " ")).when(F.col("kind") == "web", F.regexp_replace(F.lower("found"), "[.,;]+$", "")).otherwise(F.lower("found"))
+    return one.where((F.col("kind") != "phone") | right).select("source", "id", "line", "kind", value.alias("contact"))
+
+
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '''=' || p_name WHEN 1 THEN '''-' || p_name WHEN 2 THEN '''@' || p_name ELSE p_name END AS cell FROM part")
 def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.expr("CASE p_partkey % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END")

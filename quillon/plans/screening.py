@@ -319,6 +319,18 @@ def union_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("event_type", "pass").agg(F.count("*").alias("n"))
 
 
+@query(
+    "SELECT event_type, 'a' AS pass, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 "
+    "UNION ALL SELECT event_type, 'b', count(*) FROM events WHERE event_type IS NULL OR event_type NOT IN ('click', 'view') GROUP BY 1"
+)
+def union_all_passes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes that split all events by type: each event is in one of them."""
+    events = read(spark, sf_dir, "events").select("event_type")
+    first = F.coalesce(F.col("event_type").isin("click", "view"), F.lit(False))
+    both = events.where(first).withColumn("pass", F.lit("a")).unionByName(events.where(~first).withColumn("pass", F.lit("b")))
+    return both.groupBy("event_type", "pass").agg(F.count("*").alias("n"))
+
+
 @query(
     "WITH seen AS (SELECT user_id, list(DISTINCT event_type) AS t FROM events WHERE value > 90 GROUP BY 1) "
     "SELECT user_id, array_to_string(list_filter(['click', 'view', 'purchase', 'signup', 'logout'], lambda x: NOT list_contains(t, x)), ',') AS missing FROM seen"

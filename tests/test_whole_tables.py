@@ -78,3 +78,10 @@ def test_contact_extract_all(spark, tmp_path):
             want += [x for i, text in zip(t[key], t[column], strict=True) for x in contacts(name, i, text or "")]
         assert sorted(map(tuple, screening.QUERIES["contact_extract_all"](spark, sf).collect())) == sorted(want)
     assert {x[3] for x in want} == {"email", "web", "phone"}
+
+
+def test_union_all_passes_all(spark):
+    kinds = [e["event_type"] for events in users().values() for e in events]
+    got = rows(spark, "union_all_passes_all")
+    assert got == {(k, "a" if k in ("click", "view") else "b", kinds.count(k)) for k in kinds}
+    assert sum(x[2] for x in got) == len(kinds)

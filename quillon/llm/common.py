@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -23,10 +24,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set (tests)."""
+    """The shared folder that the cluster names.  Only a session of one machine may do without (tests): it gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(os.path.abspath("/tmp"), "quillon-checkpoints")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

@@ -99,6 +99,49 @@ def test_near_families(spark):
     assert got == {r[:3] for r in brute.near(found)}
 
 
+def strangers(n, seed):
+    """Texts that share many words in a row with variants(), too few to link."""
+    draw = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        words = [f"w{k}" for k in range(200)]
+        for k in draw.choice(200, 12, replace=False):
+            words[k] = f"z{i}x{k}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def emitted(monkeypatch, spark, found):
+    """Components, and the rows of each kind of table that near_components() writes."""
+    many, write = {}, near_dedup.materialise
+
+    def noted(df, tag):
+        out = write(df, tag)
+        many[tag] = many.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", noted)
+    got = {tuple(r) for r in near_dedup.near_components(docs(spark, found)).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == {r[:3] for r in brute.near(found)}
+    return many
+
+
+def test_near_pairs_stay_linear(spark, monkeypatch):
+    """Low ids that link with nobody, in the buckets of a family that links: what is written grows with the rows, not with their square."""
+    once = emitted(monkeypatch, spark, strangers(50, 8) + variants(40, 1, 1) + variants(40, 3, 2))
+    four = emitted(monkeypatch, spark, strangers(150, 8) + variants(120, 1, 1) + variants(120, 3, 2))
+    for tag in ("star", "links", "promising", "rest"):
+        assert four.get(tag, 0) <= 6 * once.get(tag, 0) + 300, tag
+    assert four["star"] <= 40 * 390 and four["links"] <= 20 * 390
+
+
+def test_near_large_buckets(spark, monkeypatch):
+    """Buckets of more than a block: further stars, and units of two blocks."""
+    monkeypatch.setattr(near_dedup, "MEMBERS", 16)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 2000)
+    emitted(monkeypatch, spark, strangers(70, 8) + variants(60, 3, 2) + variants(60, 6, 3))
+
+
 def test_superminhash_estimates():
     draw = np.random.default_rng(5)
     pool = draw.integers(0, 2**63, 3000).astype(np.uint64)
@@ -116,14 +159,34 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {80: 80, 90: 80, 100: 80}
 
 
-def test_bloom(spark):
+def key_array(df):
+    return np.array([r.key for r in df.collect()], dtype=np.int64).view(np.uint64)
+
+
+def test_bloom(spark, monkeypatch):
     keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
-    bitmap = bloom.build(keys, "key", 1, 3000)
-    have = np.array([r.key for r in keys.collect()], dtype=np.int64).view(np.uint64)
-    assert bloom.contains(bitmap, have).all()
-    assert bloom.contains(bitmap, have + np.uint64(1)).mean() < 0.02
-    twice = bloom.build(keys.unionByName(keys.limit(100)), "key", 2, 3000)
-    assert bloom.contains(twice, have).sum() >= 100 and bloom.contains(twice, have).mean() < 0.1
+    have = key_array(keys)
+    for most in (1 << 25, 500):  # one block, six blocks
+        monkeypatch.setattr(bloom, "BLOCK_KEYS", most)
+        filters = bloom.members(keys, "key")
+        assert len(filters) == (1 if most > 3000 else 6)
+        inside = np.any([x.mine(have) & x.contains(have) for x in filters], axis=0)
+        others = have + np.uint64(1)
+        assert inside.all() and np.any([x.mine(others) & x.contains(others) for x in filters], axis=0).mean() < 0.02
+        both = keys.unionByName(keys.select(F.expr("key + 1").alias("key")))
+        key = lambda batch: batch.column("key").to_numpy().view(np.uint64)
+        yes, no = bloom.picked(both, filters, key, True).count(), bloom.picked(both, filters, key, False).count()
+        assert yes + no == 6000 and 3000 <= yes < 3100
+
+
+def test_bloom_repeats(spark):
+    keys = spark.range(9000).select(F.xxhash64("id").alias("key"))
+    twice = key_array(bloom.repeated(keys.unionByName(keys.limit(100)), "key", 9100))
+    assert set(key_array(keys.limit(100))) <= set(twice) and len(twice) == len(set(twice)) < 600
+    # A very common key costs two entries a flush: what a slice gets doesn't grow with its rows.
+    batch = pa.record_batch([pa.array(np.full(400_000, 7))], ["key"])
+    sizes = [len(x) for x in bloom._gathered(iter([batch]))]
+    assert sizes == [400_000] and list(bloom.twice(np.array([7, 7, 9], np.uint64))) == [7]
 
 
 def test_sharding(some, none):

@@ -6,9 +6,11 @@ Four labelers vote +1, 0 or -1 on each candidate: the strict pattern, a gazettee
 prefixes, calling codes, reserved addresses), the words before it, and its shape.  Spark counts the vote
 patterns over all documents (a few hundred rows whatever the input); expectation-maximisation on those counts
 estimates each labeler's reliability, and a logistic span classifier is trained on the resulting soft labels.
-Loose spans that it accepts and that overlap no base span of their kind are added.
+Loose spans that it accepts are added.
 
-Spans are code points, end exclusive.  Kinds are matched independently and may overlap each other.  A null or
+Spans are code points, end exclusive.  Kinds are matched independently and may overlap each other.  The patterns of one kind
+exclude each other, so a loose span never overlaps a base one of its kind.  A text's cost is in step with its length, however many
+matches it has.  A null or
 empty text has none.  Each row is treated alone: repeated rows give repeated results.  Extra columns are not
 read; an empty table gives an empty result.
 """
@@ -25,24 +27,26 @@ from .common import materialise
 KINDS = ("email", "ip", "card", "phone")
 
 # Java patterns.  Possessive repeats and the look-behind (or \G, the end of the match before) keep long runs linear;
-# they match what the plain forms match.
+# they match what the plain forms match.  Digit counts of cards stand in the pattern: a whole run of digits is the match, or nothing is.
+_RUN = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){%s}+(?![ -]?[0-9])"
 STRICT = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    "card": _RUN % "15,18",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"[0-9](?:[ -]?[0-9])++",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "email": r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++(?![A-Za-z0-9._%+-]*+@)",
+    "ip": r"(?<![0-9A-Fa-f:])(?<![0-9]\.)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:]|\.[0-9])",
+    "card": _RUN % "12,14",
+    # A base match is taken first, so that what lies in it is no loose one.
+    "phone": STRICT["phone"] + r"|(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
 }
 #: What a text must hold for the pattern to match: cheap to test.
 NEEDS = {
     ("email", True): lambda t: t.contains("@"),
     ("ip", True): lambda t: t.rlike(r"[0-9]\.[0-9]"),
-    ("card", True): lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){12}"),
+    ("card", True): lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}"),
     ("phone", True): lambda t: t.contains("+"),
     ("email", False): lambda t: t.contains("(at)") | t.contains("[at]"),
     ("ip", False): lambda t: t.rlike(r":[0-9A-Fa-f]{1,4}:"),
@@ -74,26 +78,45 @@ def _pieces(text: Column, pattern: str) -> Column:
 
 
 _SPANS = "array<struct<start:int,end:int,s:string,before:string>>"
+#: Pieces of a text that one fold goes through; even, so that each begins outside a match.
+FOLD = 64
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _matches(text: Column, pattern: str, needs: Column) -> Column:
     """Leftmost non-overlapping matches with code point places and the characters before.
 
-    The text is cut at marks put around each match; a running sum of the pieces' lengths gives the places.
+    The text is cut at marks put around each match, and every second piece is a match; running sums of the pieces' lengths give
+    the places.  A fold copies what it has gathered at each step, so pieces are folded FOLD at a time, each from its own start.
     """
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"), F.array().cast(_SPANS).alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.char_length(piece)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("s"), acc["before"].alias("before"))
-        return F.struct(
-            end.alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(acc["inside"], F.lit("")).otherwise(F.right(piece, F.lit(CONTEXT_CHARS))).alias("before"),
-            F.when(acc["inside"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
+    def spans(part: Column, start: Column) -> Column:
+        zero = F.struct(start.cast("int").alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"), F.array().cast(_SPANS).alias("out"))
+
+        def step(acc: Column, piece: Column) -> Column:
+            end = acc["at"] + F.char_length(piece)
+            span = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("s"), acc["before"].alias("before"))
+            return F.struct(
+                end.alias("at"),
+                (~acc["inside"]).alias("inside"),
+                F.when(acc["inside"], F.lit("")).otherwise(F.right(piece, F.lit(CONTEXT_CHARS))).alias("before"),
+                F.when(acc["inside"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
+            )
 
-    return F.when(needs, F.aggregate(_pieces(text, pattern), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+        return F.aggregate(part, zero, step, lambda acc: acc["out"])
+
+    def folded(pieces: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(pieces), F.lit(FOLD))
+        length = lambda first: F.aggregate(F.slice(pieces, first, F.lit(FOLD)), F.lit(0), lambda n, x: n + F.char_length(x))
+        starts = F.aggregate(F.transform(firsts, length), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        both = F.arrays_zip(firsts.alias("first"), F.slice(starts, F.lit(1), F.size(firsts)).alias("start"))
+        return F.flatten(F.transform(both, lambda x: spans(F.slice(pieces, x["first"], F.lit(FOLD)), x["start"])))
+
+    return F.when(needs, _let(_pieces(text, pattern), folded)).otherwise(F.array().cast(_SPANS))
 
 
 def _digits(s: Column) -> Column:
@@ -126,6 +149,8 @@ def _loose_ok(kind: str, s: Column) -> Column:
     if kind == "card":
         digits = _digits(s)
         return F.when(F.length(digits).between(13, 15), _luhn(digits)).otherwise(F.lit(False))
+    if kind == "phone":
+        return ~s.startswith("+")
     return F.lit(True)
 
 
@@ -235,10 +260,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     _, _, post = reliabilities(patterns)
     w = train_spans(patterns, post)
     spans = F.col("spans")
-    base = F.filter(spans, lambda x: x["base"])
-    apart = lambda x: ~F.exists(base, lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = F.filter(F.filter(spans, lambda x: ~x["base"] & _accepted(x, w)), apart)
-    keep = F.transform(F.concat(base, more), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base")))
+    keep = F.transform(F.filter(spans, lambda x: x["base"] | _accepted(x, w)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base")))
     return found.select("doc_id", F.array_sort(keep).alias("spans"))
 
 

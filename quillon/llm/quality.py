@@ -7,10 +7,12 @@ chunk.  The pooled chunks are combined by their mean and by their maximum, and a
 into one probability.
 
 Training is plain numpy (Adam, cross-entropy with both classes weighted evenly, several passes) on the driver, over a bounded sample
-of labelled rows: the TRAIN_ROWS rows with the least hash of doc_id whose crc32(doc_id as text) mod 5 is not 0.
+of labelled rows: the TRAIN_ROWS rows with the least hash of doc_id whose crc32(doc_id as text) mod 5 is not 0, every chunk of each.
+The sample is a table; a pass streams it in another order, so that the driver holds a partition of it at a time.
 Only text is an input of the score.  Initial weights come from a fixed seed, so training is repeatable.
 
-A null text counts as empty; an empty text scores by the bias alone.  Without labels the score is 0.5 for all.
+A null text counts as empty; an empty text scores by the bias alone.  A very long text is scored in blocks of BLOCK chunks.
+A doc_id with several labels counts by the least of them; rows that repeat a labelled doc_id are training rows of their own.  Without labels the score is 0.5 for all.
 Rows with repeated ids are scored alike; a null doc_id counts as not held out.  Extra columns pass through
 keep_good().
 """
@@ -18,15 +20,16 @@ keep_good().
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, joined, slices, tidied
+from .common import id_text, joined, materialise, release, slices, tidied
 
 WIDTH = 4
 STRIDE = 2
@@ -34,8 +37,10 @@ FILTERS = 8
 CHUNK = 512
 OVERLAP = 128
 TRAIN_ROWS = 2000
-#: Bytes of a training row's text that one pass looks at: whole chunks, dealt over the whole text.
-TRAIN_CHUNKS = 12
+#: Zero bytes after each text, so that filters at its end don't see the next one.
+GAP = WIDTH + STRIDE
+#: Chunks that one numpy step looks at.
+BLOCK = 1024
 #: Training steps of BATCH rows, in as many passes over the sample as they take.
 STEPS = 500
 BATCH = 32
@@ -74,9 +79,8 @@ def chunk_edges(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, np.minimum(begin + CHUNK, sizes[doc]), doc
 
 
-def pooled(tables: np.ndarray, bias: np.ndarray, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Max-pooled activations of each chunk (places in data); chunks must have bytes."""
-    raw = np.frombuffer(data + b"\0" * (WIDTH + STRIDE), dtype=np.uint8)
+def pooled(tables: np.ndarray, bias: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Max-pooled activations of each chunk (places in raw); chunks must have bytes."""
     # STRIDE is 2 and chunk steps are even, but texts begin anywhere: look up from each text's own first byte.
     pair = np.ndarray(shape=(len(raw) - 1,), dtype="<u2", buffer=raw, strides=(1,))
     n = (end - begin + STRIDE - 1) // STRIDE
@@ -95,7 +99,11 @@ def features(net_tables: np.ndarray, bias: np.ndarray, data: bytes, offsets: np.
     begin, end, doc = chunk_edges(sizes)
     out = np.zeros((len(sizes), 2 * FILTERS), dtype=np.float32)
     if len(doc):
-        top = pooled(net_tables, bias, data, begin + offsets[doc], end + offsets[doc])
+        base = offsets[:-1] + np.arange(len(sizes)) * GAP
+        begin, end = begin + base[doc], end + base[doc]
+        raw = np.zeros(len(data) + len(sizes) * GAP, dtype=np.uint8)
+        raw[np.arange(len(data)) + np.repeat(np.arange(len(sizes)) * GAP, sizes)] = np.frombuffer(data, dtype=np.uint8)
+        top = np.concatenate([pooled(net_tables, bias, raw, begin[k : k + BLOCK], end[k : k + BLOCK]) for k in range(0, len(doc), BLOCK)])
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         many = np.diff(np.r_[first, len(doc)])
         out[doc[first], :FILTERS] = np.add.reduceat(top, first, axis=0) / many[:, None]
@@ -107,109 +115,118 @@ def probability(net: Network, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ net.head + net.head_bias, -30, 30)))
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
-    """Adam over shuffled batches; a text's chunks are dealt over it evenly, TRAIN_CHUNKS at most a pass."""
-    net = Network.new(seed)
-    y_all = np.array(labels, dtype=np.float32)
-    if not len(y_all) or y_all.min() == y_all.max():
-        net.head[:] = 0
-        net.head_bias = 0.0 if not len(y_all) else float(4 * y_all[0] - 2)
-        return net
-    draw = np.random.default_rng(seed + 1)
-    share = y_all.mean()
-    weight_all = np.where(y_all > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    params = [net.filters, net.bias, net.head, np.zeros(1, np.float32)]
-    m = [np.zeros_like(p) for p in params]
-    v = [np.zeros_like(p) for p in params]
-    step = 0
-    for _ in range(-(-STEPS // -(-len(texts) // BATCH))):
-        order = draw.permutation(len(texts))
-        for b in range(0, len(order), BATCH):
-            some = [i for i in order[b : b + BATCH] if texts[i]]
-            if not some:
-                continue
-            begins, ends, docs, blob, base = [], [], [], [], 0
-            for k, i in enumerate(some):
-                text = texts[i]
-                begin, end, _ = chunk_edges(np.array([len(text)]))
-                if len(begin) > TRAIN_CHUNKS:
-                    pick = np.sort(draw.choice(len(begin), TRAIN_CHUNKS, replace=False))
-                    begin, end = begin[pick], end[pick]
-                begins.append(begin + base)
-                ends.append(end + base)
-                docs.append(np.full(len(begin), k))
-                blob.append(text)
-                base += len(text)
-            begin, end, doc = np.concatenate(begins), np.concatenate(ends), np.concatenate(docs)
-            raw = np.frombuffer(b"".join(blob) + b"\0" * (WIDTH + STRIDE), dtype=np.uint8)
-            n = (end - begin + STRIDE - 1) // STRIDE
-            first = np.cumsum(n) - n
-            at = np.arange(int(n.sum())) * STRIDE - np.repeat(first * STRIDE - begin, n)
-            value = sum(net.filters[t][raw[at + t]] for t in range(WIDTH))
-            top = np.maximum.reduceat(value, first, axis=0)
-            # Where each chunk's maximum is: the first place that reaches it.
-            hit = value == np.repeat(top, n, axis=0)
-            row, col = np.nonzero(hit)
-            chunk = np.repeat(np.arange(len(n)), n)[row]
-            _, one = np.unique(chunk * FILTERS + col, return_index=True)
-            where = np.empty((len(n), FILTERS), dtype=np.int64)
-            where[chunk[one], col[one]] = at[row[one]]
-            act = np.maximum(top + net.bias, 0)
-            many = np.bincount(doc, minlength=len(some)).astype(np.float32)
-            mean = np.zeros((len(some), FILTERS), np.float32)
-            np.add.at(mean, doc, act / many[doc][:, None])
-            start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            peak = np.maximum.reduceat(act, start, axis=0)
-            x = np.concatenate([mean, peak], axis=1)
-            p = 1 / (1 + np.exp(-np.clip(x @ net.head + params[3][0], -30, 30)))
-            err = ((p - y_all[some]) * weight_all[some] / len(some)).astype(np.float32)
-            g_head = x.T @ err
-            back = err[:, None] * net.head[None, :]
-            g_act = back[doc, :FILTERS] / many[doc][:, None]
-            is_peak = act == peak[doc]
-            share_peak = np.zeros((len(some), FILTERS), np.float32)
-            np.add.at(share_peak, doc, is_peak.astype(np.float32))
-            g_act = g_act + is_peak * back[doc, FILTERS:] / share_peak[doc]
-            g_act *= act > 0
-            g_filters = np.zeros_like(net.filters)
-            f = np.broadcast_to(np.arange(FILTERS), where.shape)
-            for t in range(WIDTH):
-                np.add.at(g_filters[t], (raw[where + t], f), g_act)
-            grads = [g_filters, g_act.sum(axis=0), g_head + 1e-4 * net.head, np.array([err.sum()], np.float32)]
-            step += 1
-            rate = 0.02 * 0.06 ** (step / STEPS)
-            for q, g, mm, vv in zip(params, grads, m, v, strict=True):
-                mm += 0.1 * (g - mm)
-                vv += 0.01 * (g * g - vv)
-                q -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.99**step)) + 1e-6)
-    net.head_bias = float(params[3][0])
+def peaks(filters: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each chunk's greatest filter responses and the first place that reaches each."""
+    n = (end - begin + STRIDE - 1) // STRIDE
+    first = np.cumsum(n) - n
+    at = np.arange(int(n.sum())) * STRIDE - np.repeat(first * STRIDE - begin, n)
+    value = sum(filters[t][raw[at + t]] for t in range(WIDTH))
+    top = np.maximum.reduceat(value, first, axis=0)
+    row, col = np.nonzero(value == np.repeat(top, n, axis=0))
+    chunk = np.repeat(np.arange(len(n)), n)[row]
+    _, one = np.unique(chunk * FILTERS + col, return_index=True)
+    where = np.empty((len(n), FILTERS), dtype=np.int64)
+    where[chunk[one], col[one]] = at[row[one]]
+    return top, where
+
+
+class Trainer:
+    """Adam on batches of texts; weighs both classes alike."""
+
+    def __init__(self, share: float, steps: int, seed: int = 7) -> None:
+        net = Network.new(seed)
+        self.net, self.steps, self.step = net, steps, 0
+        self.weight = np.array([0.5 / (1 - share), 0.5 / share], np.float32)
+        self.params = [net.filters, net.bias, net.head, np.zeros(1, np.float32)]
+        self.m = [np.zeros_like(p) for p in self.params]
+        self.v = [np.zeros_like(p) for p in self.params]
+
+    def learn(self, texts: list[bytes], labels: list[int]) -> None:
+        net = self.net
+        sizes = np.array([len(t) for t in texts])
+        y = np.array(labels)
+        begin, end, doc = chunk_edges(sizes)
+        base = np.cumsum(sizes + GAP) - sizes - GAP
+        begin, end = begin + base[doc], end + base[doc]
+        raw = np.frombuffer(b"".join(t + b"\0" * GAP for t in texts), dtype=np.uint8)
+        parts = [peaks(net.filters, raw, begin[k : k + BLOCK], end[k : k + BLOCK]) for k in range(0, len(doc), BLOCK)]
+        top, where = (np.concatenate(x) for x in zip(*parts, strict=True))
+        act = np.maximum(top + net.bias, 0)
+        many = np.bincount(doc, minlength=len(texts)).astype(np.float32)
+        start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        mean = np.add.reduceat(act, start, axis=0) / many[:, None]
+        peak = np.maximum.reduceat(act, start, axis=0)
+        x = np.concatenate([mean, peak], axis=1)
+        p = 1 / (1 + np.exp(-np.clip(x @ net.head + self.params[3][0], -30, 30)))
+        err = ((p - y) * self.weight[y] / len(texts)).astype(np.float32)
+        back = err[:, None] * net.head[None, :]
+        is_peak = act == peak[doc]
+        share_peak = np.add.reduceat(is_peak.astype(np.float32), start, axis=0)
+        g_act = back[doc, :FILTERS] / many[doc][:, None] + is_peak * back[doc, FILTERS:] / share_peak[doc]
+        g_act *= act > 0
+        g_filters = np.zeros_like(net.filters)
+        f = np.broadcast_to(np.arange(FILTERS), where.shape)
+        for t in range(WIDTH):
+            np.add.at(g_filters[t], (raw[where + t], f), g_act)
+        self._move([g_filters, g_act.sum(axis=0), x.T @ err + 1e-4 * net.head, np.array([err.sum()], np.float32)])
+
+    def _move(self, grads: list[np.ndarray]) -> None:
+        self.step += 1
+        rate = 0.02 * 0.06 ** (self.step / self.steps)
+        for q, g, m, v in zip(self.params, grads, self.m, self.v, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            q -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-6)
+        self.net.head_bias = float(self.params[3][0])
+
+
+def constant(labels: list[int]) -> Network:
+    """What is learnt from one class, or from nothing."""
+    net = Network.new()
+    net.head[:] = 0
+    net.head_bias = float(4 * labels[0] - 2) if labels else 0.0
     return net
 
 
+def train(labels: list[int], told: Callable[[int], Iterable[tuple[bytes, int]]], seed: int = 7) -> Network:
+    """labels: those of all rows; told(nth): the rows' texts and labels in the nth pass's order."""
+    if len(set(labels)) < 2:
+        return constant(labels)
+    passes = -(-STEPS // -(-len(labels) // BATCH))
+    trainer = Trainer(sum(labels) / len(labels), max(STEPS, passes * -(-len(labels) // BATCH)), seed)
+    for nth in range(passes):
+        rows = iter(told(nth))
+        while some := list(islice(rows, BATCH)):
+            some = [x for x in some if x[0]]
+            if some:
+                trainer.learn([x[0] for x in some], [x[1] for x in some])
+    return trainer.net
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list:
-    """A bounded sample: the labelled rows that aren't held out with the least hash of doc_id."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
+    """A bounded sample, as a table: of the labelled rows that aren't held out, `most` with the least hash of doc_id."""
     c = F.col("label_id")
-    pick = (
-        labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label"))
-        .where(c.isNotNull() & F.col("label").isin(0, 1) & ~held_out(c))
-        .orderBy(F.xxhash64(c), c, "label")
-        .limit(most)
-    )
-    rows = pick.collect()
-    if not rows:
-        return []
-    spark = docs.sparkSession
-    few = F.broadcast(spark.createDataFrame([tuple(r) for r in rows], "label_id long, label int"))  # `most` rows at most
-    return id_text(docs, id_col, text_col).join(few, F.col("doc_id") == c).select("doc_id", "text", "label").collect()
+    known = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).where(c.isNotNull() & F.col("label").isin(0, 1) & ~held_out(c))
+    pick = known.groupBy("label_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64(c), c).limit(most)
+    few = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in pick.collect()], "label_id long, label int"))  # `most` rows at most
+    rows = id_text(docs, id_col, text_col).join(few, F.col("doc_id") == c).select("doc_id", "label", F.coalesce("text", F.lit(b"")).alias("text"))
+    return materialise(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", most: int = TRAIN_ROWS) -> Network:
-    rows = sorted(((r["doc_id"], bytes(r["text"] or b""), r["label"]) for r in training_rows(docs, labels, id_col, text_col, label_col, most)))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    sample = training_rows(docs, labels, id_col, text_col, label_col, most)
+
+    def told(nth: int) -> Iterator[tuple[bytes, int]]:
+        rows = sample.orderBy(F.xxhash64(F.lit(nth), "doc_id"), "doc_id", "text").select("text", "label")
+        return ((bytes(r[0]), r[1]) for r in rows.toLocalIterator())
+
+    net = train([r[0] for r in sample.select("label").collect()], told)  # `most` labels at most
+    release(sample)
+    return net
 
 
 def scorer(net: Network):

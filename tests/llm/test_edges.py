@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import time
 import zipfile
 import zlib
 
@@ -254,6 +255,30 @@ def test_pii_hard(spark):
         assert got[i].base_sha256 == hashlib.sha256(told.encode()).hexdigest(), text[:60]
 
 
+def test_pii_long(spark):
+    """Texts with very many matches, in seconds: short numbers, addresses, cards and phones, 1 MB each."""
+    numbers = " ".join(str(10 + i % 89_990) for i in range(180_000))
+    mixed = " ".join(f"a{i}@b.io 10.0.{i % 300}.{i % 7} 4111 1111 1111 1111, (743) 555-{1000 + i % 9000}; +1 743 555 {1000 + i % 9000}" for i in range(11_000))
+    df = spark.createDataFrame([(1, numbers), (2, mixed), (3, "7" * 1_000_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.digest_columns(pii.find(df)).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    for i, text in ((1, numbers), (2, mixed)):
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in brute.personal(text))
+        assert got[i].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+
+
+def test_pii_kinds_dont_overlap_themselves(spark):
+    texts = ["a@b.c(at)d.e x(at)d.e@f.g joe (at) ex.com.", "1:2:3:4:5:6:7:8.1.1.1 9.9.9.9:1:2:3:4:5:6:7 1:2:3:4:5:6:7:8.", "+1 (743) 555-3824 or (743) 555-3824 x 4111 1111 1111 111, 4111111111111111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.candidates(df).collect():
+        assert r.spans
+        for kind in range(4):
+            mine = [x for x in r.spans if x.kind == kind]
+            assert all(x.end <= y.start for x, y in zip(mine, mine[1:], strict=False))
+
+
 def test_pii_learns():
     """Labelers that agree get more weight than one that votes at random."""
     patterns = [(3, 1, 1, 1, 1, 900), (3, 0, 1, 1, 1, 60), (3, 0, -1, -1, -1, 500), (3, 0, 1, -1, 1, 10), (3, 1, 1, 0, 1, 300)]
@@ -264,8 +289,54 @@ def test_pii_learns():
     assert logit(patterns[1]) > 0 > logit(patterns[2])
 
 
+def taught(texts, labels):
+    rows = list(zip(texts, labels, strict=True))
+    return quality.train(labels, lambda nth: [rows[k] for k in np.random.default_rng(nth).permutation(len(rows))])
+
+
+def convolution(net, text):
+    """The network's probability of one text, by plain loops."""
+    step, pooled, begin = quality.CHUNK - quality.OVERLAP, [], 0
+    padded = text + b"\0" * 8
+    while text:
+        end = min(begin + quality.CHUNK, len(text))
+        best = [max(sum(float(net.filters[t][padded[a + t]][f]) for t in range(4)) for a in range(begin, end, 2)) for f in range(quality.FILTERS)]
+        pooled.append([max(0.0, b + float(net.bias[f])) for f, b in enumerate(best)])
+        if end == len(text):
+            break
+        begin += step
+    logit = net.head_bias
+    for f in range(quality.FILTERS):
+        if pooled:
+            logit += float(net.head[f]) * sum(x[f] for x in pooled) / len(pooled) + float(net.head[quality.FILTERS + f]) * max(x[f] for x in pooled)
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_quality_equals_plain_convolution(monkeypatch):
+    draw = np.random.default_rng(3)
+    net = quality.Network.new(11)
+    net.bias[:] = draw.normal(0, 0.2, quality.FILTERS)
+    texts = [b"", b"a", "é€ words".encode(), draw.bytes(511), draw.bytes(512), draw.bytes(513), draw.bytes(2500)]
+    for block in (1024, 2):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        got = quality.scorer(net)(pa.array(texts, pa.binary()))
+        assert np.allclose(got, [convolution(net, t) for t in texts], atol=1e-4)
+
+
+def test_quality_learns_from_every_chunk(spark):
+    """What tells the classes apart stands in one chunk in a hundred; labels and rows may repeat."""
+    plain = b"just some words here " * 2400
+    rows = [(i, (plain[: 500 * (i % 97)] + (b"###### ?? " * 30 if i % 2 else b"words here " * 30) + plain[: 500 * (97 - i % 97)]).decode()) for i in range(60)]
+    df = docs(spark, rows + rows[:3])
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)] + [(0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    net = quality.fit(df, labels)
+    got = {r.doc_id: r.score for r in quality.score_documents(df, net).collect()}
+    assert min(s for i, s in got.items() if i % 2 == 0) > max(s for i, s in got.items() if i % 2)
+    assert quality.training_rows(df, labels, "doc_id", "text", "quality", 5).count() == 5
+
+
 def test_quality(some, none, spark):
-    net = quality.train([b"good words here now"] * 20 + [b"$$$ ### *** %%%"] * 20, [1] * 20 + [0] * 20)
+    net = taught([b"good words here now"] * 20 + [b"$$$ ### *** %%%"] * 20, [1] * 20 + [0] * 20)
     got = {r.doc_id: r.score for r in quality.score_documents(some, net).collect()}
     assert set(got) == {i for i, _ in TEXTS} and all(0 <= s <= 1 for s in got.values()) and got[1] == got[2]
     left = quality.keep_good(some, net)
@@ -283,7 +354,7 @@ def test_quality_covers_the_whole_text():
             if d == k:
                 seen[a:b] = True
         assert seen.all()
-    net = quality.train([b"plain text"] * 9 + [b"!!!! ????"] * 9, [1] * 9 + [0] * 9)
+    net = taught([b"plain text"] * 9 + [b"!!!! ????"] * 9, [1] * 9 + [0] * 9)
     score = quality.scorer(net)
     long = b"plain text " * 3000
     assert score(pa.array([long + b"!!!! ???? " * 40], pa.binary()))[0] != score(pa.array([long], pa.binary()))[0]

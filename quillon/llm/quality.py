@@ -8,7 +8,8 @@ into one probability.
 
 Training is plain numpy (Adam, cross-entropy with both classes weighted evenly, several passes) on the driver, over a bounded sample
 of labelled rows: the TRAIN_ROWS rows with the least hash of doc_id whose crc32(doc_id as text) mod 5 is not 0, every chunk of each.
-The sample is a table; a pass streams it in another order, so that the driver holds a partition of it at a time.
+The sample is a table; each pass takes it in another order.  With more than HELD_BYTES of text the driver streams it pass by pass, in the
+same orders, and holds a partition at a time.
 Only text is an input of the score.  Initial weights come from a fixed seed, so training is repeatable.
 
 A null text counts as empty; an empty text scores by the bias alone.  A very long text is scored in blocks of BLOCK chunks.
@@ -39,6 +40,8 @@ OVERLAP = 128
 TRAIN_ROWS = 2000
 #: Zero bytes after each text, so that filters at its end don't see the next one.
 GAP = WIDTH + STRIDE
+#: Bytes of sample texts that the driver holds; a larger sample is streamed pass by pass.
+HELD_BYTES = 64 << 20
 #: Chunks that one numpy step looks at.
 BLOCK = 1024
 #: Training steps of BATCH rows, in as many passes over the sample as they take.
@@ -117,17 +120,16 @@ def probability(net: Network, x: np.ndarray) -> np.ndarray:
 
 def peaks(filters: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each chunk's greatest filter responses and the first place that reaches each."""
-    n = (end - begin + STRIDE - 1) // STRIDE
-    first = np.cumsum(n) - n
-    at = np.arange(int(n.sum())) * STRIDE - np.repeat(first * STRIDE - begin, n)
-    value = sum(filters[t][raw[at + t]] for t in range(WIDTH))
-    top = np.maximum.reduceat(value, first, axis=0)
-    row, col = np.nonzero(value == np.repeat(top, n, axis=0))
-    chunk = np.repeat(np.arange(len(n)), n)[row]
-    _, one = np.unique(chunk * FILTERS + col, return_index=True)
-    where = np.empty((len(n), FILTERS), dtype=np.int64)
-    where[chunk[one], col[one]] = at[row[one]]
-    return top, where
+    widest = int((end - begin).max())
+    at = begin[:, None] + np.arange(0, widest, STRIDE)
+    off = at >= end[:, None]
+    at[off] = 0
+    value = filters[0][raw[at]]
+    for t in range(1, WIDTH):
+        value += filters[t][raw[at + t]]
+    value[off] = -np.inf
+    best = value.argmax(axis=1)
+    return np.take_along_axis(value, best[:, None, :], axis=1)[:, 0], begin[:, None] + best * STRIDE
 
 
 class Trainer:
@@ -180,6 +182,10 @@ class Trainer:
         self.net.head_bias = float(self.params[3][0])
 
 
+def passes(rows: int) -> int:
+    return -(-STEPS // -(-rows // BATCH))
+
+
 def constant(labels: list[int]) -> Network:
     """What is learnt from one class, or from nothing."""
     net = Network.new()
@@ -192,9 +198,8 @@ def train(labels: list[int], told: Callable[[int], Iterable[tuple[bytes, int]]],
     """labels: those of all rows; told(nth): the rows' texts and labels in the nth pass's order."""
     if len(set(labels)) < 2:
         return constant(labels)
-    passes = -(-STEPS // -(-len(labels) // BATCH))
-    trainer = Trainer(sum(labels) / len(labels), max(STEPS, passes * -(-len(labels) // BATCH)), seed)
-    for nth in range(passes):
+    trainer = Trainer(sum(labels) / len(labels), passes(len(labels)) * -(-len(labels) // BATCH), seed)
+    for nth in range(passes(len(labels))):
         rows = iter(told(nth))
         while some := list(islice(rows, BATCH)):
             some = [x for x in some if x[0]]
@@ -219,12 +224,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", most: int = TRAIN_ROWS) -> Network:
     sample = training_rows(docs, labels, id_col, text_col, label_col, most)
+    seen = sample.select("label", F.length("text")).collect()  # `most` rows at most
+    order = lambda nth: F.xxhash64(F.lit(nth), "doc_id")
 
-    def told(nth: int) -> Iterator[tuple[bytes, int]]:
-        rows = sample.orderBy(F.xxhash64(F.lit(nth), "doc_id"), "doc_id", "text").select("text", "label")
+    def streamed(nth: int) -> Iterator[tuple[bytes, int]]:
+        rows = sample.orderBy(order(nth), "doc_id", "text").select("text", "label")
         return ((bytes(r[0]), r[1]) for r in rows.toLocalIterator())
 
-    net = train([r[0] for r in sample.select("label").collect()], told)  # `most` labels at most
+    def held(nth: int) -> Iterator[tuple[bytes, int]]:
+        return ((bytes(r["text"]), r["label"]) for r in sorted(rows, key=lambda r: (r["draws"][nth], r["doc_id"], r["text"])))
+
+    small = sum(r[1] for r in seen) <= HELD_BYTES
+    if small:  # the same orders, without a job for each pass
+        rows = sample.withColumn("draws", F.array(*map(order, range(passes(len(seen)))))).collect() if seen else []
+    net = train([r[0] for r in seen], held if small else streamed)
     release(sample)
     return net
 

@@ -323,12 +323,22 @@ def test_quality_equals_plain_convolution(monkeypatch):
         assert np.allclose(got, [convolution(net, t) for t in texts], atol=1e-4)
 
 
+def test_quality_streams_a_large_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 6)
+    df = docs(spark, [(i, f"text {i} " + "ab "[i % 2] * 300) for i in range(50)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    one = quality.fit(df, labels)
+    monkeypatch.setattr(quality, "HELD_BYTES", 100)
+    two = quality.fit(df, labels)
+    assert (one.filters == two.filters).all() and (one.head == two.head).all()
+
+
 def test_quality_learns_from_every_chunk(spark):
-    """What tells the classes apart stands in one chunk in a hundred; labels and rows may repeat."""
-    plain = b"just some words here " * 2400
-    rows = [(i, (plain[: 500 * (i % 97)] + (b"###### ?? " * 30 if i % 2 else b"words here " * 30) + plain[: 500 * (97 - i % 97)]).decode()) for i in range(60)]
+    """What tells the classes apart stands in one chunk of many; labels and rows may repeat."""
+    plain = b"just some words here " * 500
+    rows = [(i, (plain[: 500 * (i % 19)] + (b"###### ?? " * 30 if i % 2 else b"words here " * 30) + plain[: 500 * (19 - i % 19)]).decode()) for i in range(40)]
     df = docs(spark, rows + rows[:3])
-    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)] + [(0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(40)] + [(0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     net = quality.fit(df, labels)
     got = {r.doc_id: r.score for r in quality.score_documents(df, net).collect()}
     assert min(s for i, s in got.items() if i % 2 == 0) > max(s for i, s in got.items() if i % 2)

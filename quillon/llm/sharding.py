@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Rows that one group of the slot numbering holds, about.
 SLOT_GROUP = 20_000
 OVERHEAD_BYTES = 8
@@ -86,21 +88,22 @@ def assign(docs: DataFrame, tree: tuple[Leaf, ...] | None = None, id_col: str =
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row.
 
     Slots number a shard's rows from 0 without gaps.  Rows of a shard are dealt to groups of bounded size by a
-    hash; counts of the groups (which need doc_id only) give each group's first slot.
+    hash of doc_id and text, so that rows of one doc_id are in several; counts of the groups give each group's first slot.
+    Texts are read once: what follows needs a table of some 40 bytes a row.
     """
     tree = tree or even_tree()
     bytes_ = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.length(bytes_) + OVERHEAD_BYTES).cast("long").alias("size"), F.crc32(bytes_).cast("long").alias("text_crc32")
     )
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     groups = max(1, -(-docs.count() // (len(tree) * SLOT_GROUP)))
-    dealt = lambda df: shard_of(df, "doc_id", tree, "shard").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(groups)))
-    counts = dealt(ids).groupBy("shard", "part").agg(F.count("*").alias("many"))
+    dealt = shard_of(rows, "doc_id", tree, "shard").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id", "text_crc32"), F.lit(groups)))
+    dealt = materialise(dealt, "dealt")
+    counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("many"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "part", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("first"))
     nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
-    numbered = dealt(rows).withColumn("nth", nth.cast("long"))
+    numbered = dealt.withColumn("nth", nth.cast("long"))
     placed = numbered.join(firsts, ["shard", "part"]).withColumn("slot", F.col("first") + F.col("nth") - 1)
     return shard_of(placed, "doc_id", grow(tree), "grown_shard").select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.col("grown_shard").cast("int").alias("grown_shard")

@@ -3,10 +3,12 @@
 A package is a ZIP file with two stored (uncompressed) members: archive/data.warc.gz, in which every record is
 a gzip member of its own, and indexes/index.cdxj, a line for each record with its offset and length.  The reader
 parses the end of the file, the ZIP64 locator and directory if there is one, and the central directory; it
-takes the index from its member and reads each record as a range of the package.
+takes the index from its member and reads each record as a range of the package.  Stores that only Spark reads have no ranges for
+Python, so a task gets a package of PACKAGE bytes and the ranges are of those.
 
 Of records with equal payloads the one with the smallest page_id is a response, the others are revisits that
-refer to it; payloads under `least_bytes` are all responses.  A null html is an empty payload.  Rows that
+refer to it; payloads under `least_bytes` are all responses.  A null html is an empty payload; a null url is written, and read back,
+as an empty one.  A null page_id is a response, or a revisit of none.  Rows that
 repeat page_id and html are equal captures and share a type.  Tasks write whole files of at most about PACKAGE
 bytes through Spark's committing writer: a lost executor leaves no partial package.  Extra columns are not
 written; an empty table gives no packages and no rows.
@@ -23,11 +25,13 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tidied
+from . import bloom
+from .common import materialise, tidied
 
 PACKAGE = 6 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -202,15 +206,21 @@ def records(package: ZipPackage) -> Iterator[tuple[dict[str, str], bytes, bytes]
 def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload and refers_to (null: a response).
 
-    The smallest page_id of each digest is a grouped minimum over (page_id, digest) rows without html; the
-    html itself is dealt once, by page_id.
+    Digests go to a table without html, and the smallest page_id of each repeated one to another, so that a digest which very many
+    pages share can be split where both meet.  Pages that a filter of the revisits says nothing about are responses and don't
+    shuffle; the others meet the revisits.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    light = rows.where(F.length("payload") >= least_bytes).select("page_id", "digest")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), payload.alias("payload"))
+    light = materialise(rows.where(F.length("payload") >= least_bytes).select("page_id", F.sha1("payload").alias("digest")), "digests")
     firsts = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to <> last").drop("last")
-    again = light.join(firsts, "digest").where("page_id <> refers_to").distinct()
-    return rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
+    again = materialise(light.join(materialise(firsts, "firsts"), "digest").where("page_id <> refers_to").distinct(), "again")
+    filters = bloom.members(again, "page_id")
+    key = lambda batch: batch.column("page_id").fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
+    maybe = bloom.picked(rows, filters, key, True).withColumn("digest", F.sha1("payload")).join(again, ["page_id", "digest"], "left")
+    alone = bloom.picked(rows, filters, key, False).withColumn("refers_to", F.lit(None).cast("long"))
+    names = ["page_id", "url", "payload", "refers_to"]
+    return alone.select(names).unionByName(maybe.select(names))
 
 
 def write_packages(found: DataFrame, path: str, package_bytes: int = PACKAGE) -> None:

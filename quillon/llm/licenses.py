@@ -1,7 +1,7 @@
 """Licence texts by canonical digest lookup, with DataFrame functions only.
 
-A text's canonical form: lower case; copyright lines (a copyright sign, or the word with a sign or year, and
-"all rights reserved") removed; punctuation and white space turned into single blanks; equivalent spellings
+A text's canonical form: lower case; copyright lines removed (lines that begin with a copyright notice or "all rights reserved", up to
+COPYRIGHT_CHARS characters after it; a text of nothing else keeps them); punctuation and white space turned into single blanks; equivalent spellings
 turned into one.  Its SHA-256 is hash-joined with the digests of known licence texts, so a document is a licence
 if its entire text is.  Documents also carry notices: lines that are, in canonical form, a known notice.
 
@@ -45,7 +45,8 @@ SPELLINGS = {
     "https": "http",
 }
 
-COPYRIGHT_LINE = r"^.*(?:©|\(c\) |copyright (?:\(c\)|[0-9]{4})|all rights reserved).*$"
+COPYRIGHT_CHARS = 160
+COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n]{0,16}(?:©|\(c\) (?:copyright|[0-9]{4})|copyright (?:\(c\)|©|[0-9]{4})|all rights reserved)[^\n]{0,%d}$" % COPYRIGHT_CHARS
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 _DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
@@ -218,16 +219,21 @@ def _worded() -> list[tuple[str, str]]:
 NOTICES += _worded()
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column | str) -> Column:
     """The canonical form, as words between single blanks."""
-    kept = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT_LINE, " ")
-    return _spelt(F.concat(F.lit(" "), F.regexp_replace(kept, NOT_WORD, " "), F.lit(" ")))
+    text = F.lower(text)
+    words = lambda x: F.regexp_replace(x, NOT_WORD, "  ")
+    kept = words(F.regexp_replace(text, "(?md)" + COPYRIGHT_LINE, " "))
+    # Few texts hold a copyright notice at all; the others go through one pattern only.
+    noted = text.contains("copyright") | text.contains("©") | text.contains("(c)") | text.contains("all rights reserved")
+    return _spelt(F.when(noted & (F.trim(kept) != ""), kept).otherwise(words(text)))
 
 
 def _spelt(words: Column) -> Column:
-    out = words
+    """Words have two blanks between them, so each has both of its own and neighbours are exchanged alike."""
+    out = F.concat(F.lit(" "), words, F.lit(" "))
     for old, new in SPELLINGS.items():
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
+        out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
     return F.regexp_replace(F.trim(out), " +", " ")
 
 
@@ -264,12 +270,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def scan_sql() -> str:
     """The same in DuckDB SQL, over the view documents."""
 
+    one = {old: new for old, new in SPELLINGS.items() if " " not in old}
+    two = {old: new for old, new in SPELLINGS.items() if " " in old}
+    pairs = ", ".join(f"'{old}': '{new}'" for old, new in one.items())
+
     def canon(x: str) -> str:
-        # A pattern for a whole line leaves its line feed; both engines do.
-        out = f"concat(' ', regexp_replace(regexp_replace(lower({x}), '(?m){COPYRIGHT_LINE}', ' ', 'g'), '{NOT_WORD}', ' ', 'g'), ' ')"
-        for old, new in SPELLINGS.items():
-            out = f"replace({out}, ' {old} ', ' {new} ')"
-        return f"regexp_replace(trim({out}), ' +', ' ', 'g')"
+        """Split into words, exchange them by a map, join what belongs together."""
+        bare = f"regexp_replace(lower({x}), '(?m){COPYRIGHT_LINE}', ' ', 'g')"
+        kept = f"CASE WHEN regexp_matches({bare}, '[\\p{{L}}\\p{{N}}]') THEN {bare} ELSE lower({x}) END"
+        out = f"' ' || array_to_string(list_transform(regexp_extract_all({kept}, '[\\p{{L}}\\p{{N}}]+'), lambda w: coalesce(element_at(MAP {{{pairs}}}, w)[1], w)), '  ') || ' '"
+        for old, new in two.items():
+            out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+        return f"replace(trim({out}), '  ', ' ')"
 
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = lambda known: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in known)

@@ -1,7 +1,7 @@
 """Order-preserving packing of token ids into windows, by dynamic programming with a monotone queue.
 
 Documents follow one another in input order, each as its ids and an end id.  Cuts may fall at the ends of
-documents and sentences, and inside a sentence at every STEP-th token, so that any sentence can be packed.
+documents and sentences; only inside a sentence longer than a window also at every STEP-th token, so that it can be packed.
 cost(j) = penalty(j) + min over cuts i, 0 < j - i <= size, of cost(i) + padding(j - i): a document's end
 costs nothing, a sentence's end SENTENCE, another place TRUNCATE.  As padding(j - i) = size - (j - i), the best
 i is the least cost(i) + i in a sliding range, which a monotone queue gives in constant time for each cut.
@@ -65,17 +65,19 @@ def cuts(places: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]
     return path[::-1]
 
 
-def candidate_cuts(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidate_cuts(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, with 0 in front, and their penalties."""
     n = len(ids)
     fee = np.full(n + 1, -1, dtype=np.int32)
-    fee[::STEP] = TRUNCATE
     known = ids < len(sentence)
     stops = np.flatnonzero(sentence[np.where(known, ids, 0)] & known) + 1
     fee[stops] = SENTENCE
     fee[ends] = 0
     fee[0] = fee[n] = 0
     places = np.flatnonzero(fee >= 0)
+    for k in np.flatnonzero(np.diff(places) > size):  # a sentence that no window holds
+        fee[places[k] + STEP : places[k + 1] : STEP] = TRUNCATE
+    places = np.flatnonzero(fee >= 0)
     return places, fee[places]
 
 
@@ -110,7 +112,7 @@ class Packer:
         if not total or (not last and total < 2 * self.size):
             return []
         held = np.cumsum([n for _, _, n, _ in self.docs])
-        places, fee = candidate_cuts(self.ids, held, self.sentence)
+        places, fee = candidate_cuts(self.ids, held, self.sentence, self.size)
         path = places[cuts(places, fee, self.size)].tolist()
         tail = path[-2]
         windows = list(zip(path, path[1:-1], strict=False))

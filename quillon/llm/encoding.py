@@ -1,8 +1,8 @@
 """Token ids of whole texts through the tokenizers library, cached by chunk.
 
 For a tokenizer that drops white space and treats every stretch between white space alone (its file says
-so: an NFC / white space / lower-case normaliser and a splitter that removes what it doesn't match), equal
-chunks give equal ids.  Each batch is split at ASCII white space and its distinct chunks are looked up; only
+so: an NFC / white space / lower-case normaliser and a splitter that removes what it doesn't match, with the patterns
+below), equal chunks give equal ids.  Each batch is split at ASCII white space and its distinct chunks are looked up; only
 chunks not met before are tokenized.  Other tokenizer files are encoded text by text.
 """
 
@@ -21,6 +21,10 @@ from .common import joined
 #: Stems kept in each of the two generations of the cache.
 GENERATION = 80_000
 
+# The patterns of the tokenizer file that is read by chunk.
+SPACES = r"\s+"
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 #: A chunk of letters that NFC leaves alone, then marks that the splitter cuts off as one piece.
 MARKS = ".,;:!?*#$%&|"
 LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
@@ -64,11 +68,15 @@ class Encoder:
 
     @staticmethod
     def _by_chunk(spec: dict) -> bool:
-        norm = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        norm = [x.get("type") for x in steps]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         cut = pre[0]
         return (
             norm == ["NFC", "Replace", "Lowercase"]
+            and steps[1].get("pattern") == {"Regex": SPACES}
+            and steps[1].get("content") == " "
+            and cut.get("pattern") == {"Regex": SPLITTER}
             and cut.get("type") == "Split"
             and cut.get("behavior") == "Removed"
             and bool(cut.get("invert"))

@@ -7,7 +7,7 @@ are small and of set size, and every column chunk has a page index, so a reader
 touches no token page, and a reader of a doc_id range touches only the pages that hold it.
 
 Null texts count as empty: they give the end id alone.  Rows that share a doc_id are written one after the
-other, in the order of their text; a null doc_id sorts first.  An empty table gives files without rows.
+other, in the order of their text, and their starts follow the order in the file; a null doc_id sorts first.  An empty table gives files without rows.
 Extra columns are not written.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, slices, tidied
@@ -63,28 +63,34 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def _place() -> list[Column]:
+    """Where a row stands: its file, and its number in it."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth")]
+
+
 def token_starts(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, n_tokens and start (tokens of all documents before), from the metadata columns only.
+    """doc_id, n_tokens and start (tokens of all documents before), from the metadata columns only."""
+    return with_starts(read_token_files(spark, path).select("doc_id", "n_tokens", *_place()), spark, path)
 
-    Files are disjoint ranges, so a sum for each file (a row for each file) and a running sum within each
-    file give a global running sum without one global sort.
-    """
-    rows = read_token_files(spark, path).select("doc_id", "n_tokens", F.input_file_name().alias("file"))
-    return with_starts(rows)
 
+def with_starts(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """rows: doc_id, n_tokens, others, file and nth.  Adds start.
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    names = [c for c in rows.columns if c != "file"]
-    files = rows.groupBy("file").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"), F.sum("n_tokens").alias("total"))
+    Files are disjoint ranges of doc_id, so a sum for each file (a row for each file, from the metadata columns) and a running
+    sum within each file, in the order of its rows, give a global running sum without one global sort.
+    """
+    names = [c for c in rows.columns if c not in ("file", "nth")]
+    light = read_token_files(spark, path).select("doc_id", "n_tokens", _place()[0])
+    files = light.groupBy("file").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"), F.sum("n_tokens").alias("total"))
     before = files.select(
         "file", F.coalesce(F.sum("total").over(Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
     )
-    inner = Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("file").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(before, "file").select(*names, (F.col("before") + F.col("within")).alias("start"))
 
 
 def check_columns(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids, all from the files."""
+    """doc_id, start, n_tokens and the crc32 of the ids, all from the files, whose ids are read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +99,8 @@ def check_columns(spark: SparkSession, path: str) -> DataFrame:
             flat = memoryview(np.ascontiguousarray(lists.values.to_numpy()).view(np.uint8))
             crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)]
             sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes), pa.array(crc, pa.int64()), batch.column("file")], ["doc_id", "n_tokens", "ids_crc32", "file"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes), pa.array(crc, pa.int64()), batch.column("file"), batch.column("nth")], ["doc_id", "n_tokens", "ids_crc32", "file", "nth"])
 
-    rows = read_token_files(spark, path).select("doc_id", "ids", F.input_file_name().alias("file"))
-    return with_starts(rows.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_crc32 long, file string")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = read_token_files(spark, path).select("doc_id", "ids", *_place())
+    told = rows.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_crc32 long, file string, nth long")
+    return with_starts(told, spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -6,12 +6,13 @@ words of a benchmark item; an item of one to nine words is one window.  Windows
 
 The search is Wu and Manber's: a shift table over blocks of B bytes tells how far the reading position may
 move, a block whose shift is 0 selects the bucket of windows that end their first m bytes with it, and a
-direct comparison confirms.  Many text segments move in step, each at its own position, so that a step is a
+direct comparison confirms.  Equal windows of several items are one, with a list of items.  Many text segments move in step, each at its own position, so that a step is a
 few numpy operations over all of them; positions are skipped exactly as in the sequential form.  Windows of
 similar length share a table (m is the shortest of them).
 
 Null has no words.  Documents or items without words give no hits.  Items may repeat: each item_id counts
-once.  An empty table on either side gives no hits.  Extra columns are not read by the query.
+once.  An item without an id hits words like any other, but is neither counted nor listed.  An item_id may be of any type; ids are listed,
+and sorted, as strings.  An empty table on either side gives no hits.  Extra columns are not read by the query.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,8 @@ class Table:
     start: np.ndarray
     end: np.ndarray
     words: np.ndarray
-    item: np.ndarray
+    first: np.ndarray  # where a window's items begin in `items`; they end where the next one's begin
+    items: list[str | None]
     text: bytes
 
 
@@ -68,10 +71,23 @@ def _hash(blocks: np.ndarray, bits: int) -> np.ndarray:
         return (blocks * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
-def build_tables(items: list[tuple[int, str | None]]) -> list[Table]:
+def distinct(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows that has equal ones side by side, and where in it a new one begins."""
+    a, b = start.tolist(), end.tolist()
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(text[x:y]) for x, y in zip(a, b, strict=True)), dtype=np.uint64, count=len(a))
+    order = np.argsort(digest, kind="stable")
+    new = np.r_[True, digest[order[1:]] != digest[order[:-1]]]
+    for k in np.flatnonzero(~new):  # the same digest: the same bytes, or else one more window
+        x, y = order[k - 1], order[k]
+        new[k] = text[a[x] : b[x]] != text[a[y] : b[y]]
+    return order, np.flatnonzero(new)
+
+
+def build_tables(items: list[tuple[object, str | None]]) -> list[Table]:
     """Tables for the windows of all items, by classes of length; some 30 bytes for each window beside the text."""
+    names = [None if i is None else str(i) for i, _ in items]
     parts, spans, base = [], [], 0
-    for item, text in items:
+    for item, (_, text) in enumerate(items):
         words = normalised(text)
         if not words:
             continue
@@ -93,6 +109,9 @@ def build_tables(items: list[tuple[int, str | None]]) -> list[Table]:
         mine = np.flatnonzero((size >= low) & (size < 2 * low))
         if not len(mine):
             continue
+        order, heads = distinct(text, start[mine], end[mine])
+        owners = np.split(item[mine[order]], heads[1:])
+        mine = mine[order[heads]]
         m = int((end - start)[mine].min())
         block = min(8, max(2, m // 2))
         bits = min(22, max(10, (4 * len(mine) * (m - block + 1)).bit_length()))
@@ -103,12 +122,14 @@ def build_tables(items: list[tuple[int, str | None]]) -> list[Table]:
         suffix = eights[start[mine] + m - block] & mask
         order = np.argsort(suffix, kind="stable")
         mine = mine[order]
-        tables.append(Table(m, block, bits, shift, mask, suffix[order], start[mine], end[mine], words[mine], item[mine], text))
+        own = [np.unique(owners[k]).tolist() for k in order.tolist()]
+        first = np.cumsum([0, *map(len, own)])
+        tables.append(Table(m, block, bits, shift, mask, suffix[order], start[mine], end[mine], words[mine], first, [names[i] for x in own for i in x], text))
     return tables
 
 
 def occurrences(table: Table, text: bytes) -> Iterator[tuple[int, int, int]]:
-    """(place, words, item) of each window of the table in the text, whose last 8 bytes are spare.
+    """(place, words, window) of each window of the table in the text, whose last 8 bytes are spare.
 
     Every segment has a cursor; a cursor stops where the next segment's first place begins.
     """
@@ -129,7 +150,7 @@ def occurrences(table: Table, text: bytes) -> Iterator[tuple[int, int, int]]:
             for place, a, b in zip(at[found].tolist(), low.tolist(), high.tolist(), strict=True):
                 for w in range(a, b):
                     if text.startswith(table.text[table.start[w] : table.end[w]], place):
-                        yield place, int(table.words[w]), int(table.item[w])
+                        yield place, int(table.words[w]), w
         at = at + np.maximum(move, 1)
         on = at < stop
         if not on.all():
@@ -167,18 +188,26 @@ def collapse(data: bytes, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.nd
     return out.tobytes(), first, counts
 
 
-def find(tables: list[Table], data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], dict[int, set[int]]]:
+def find(tables: list[Table], data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
     """Word counts; for documents with hits, the hit stretches of words (from, to) and the items."""
     text, first, counts = collapse(data, offsets)
     stretches: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    items: dict[int, set[int]] = defaultdict(set)
+    items: dict[int, set[str]] = defaultdict(set)
     owner = np.flatnonzero(counts)  # documents that have places of their own
+    blanks: np.ndarray | None = None
     for table in tables:
-        for place, words, item in occurrences(table, text):
-            doc = int(owner[np.searchsorted(first[owner], place, side="right") - 1])
-            begin = text.count(b" ", int(first[doc]), place + 1) - 1
-            stretches[doc].append((begin, begin + words))
-            items[doc].add(item)
+        found = list(occurrences(table, text))
+        if not found:
+            continue
+        if blanks is None:
+            blanks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
+        place, words, window = (np.array(x) for x in zip(*found, strict=True))
+        doc = owner[np.searchsorted(first[owner], place, side="right") - 1]
+        begin = np.searchsorted(blanks, place) - np.searchsorted(blanks, first[doc])
+        for d, a, n in zip(doc.tolist(), begin.tolist(), words.tolist(), strict=True):
+            stretches[d].append((a, a + n))
+        for d, w in np.unique(np.stack([doc, window], axis=1), axis=0).tolist():
+            items[d].update(x for x in table.items[table.first[w] : table.first[w + 1]] if x is not None)
     return counts, stretches, items
 
 
@@ -193,10 +222,10 @@ def merged(stretches: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
     """The benchmark in blocks of bounded text; they pass through the driver one at a time."""
     held, size = [], 0
-    for row in benchmark.select(id_col, text_col).where(F.col(id_col).isNotNull()).toLocalIterator():
+    for row in benchmark.select(id_col, text_col).toLocalIterator():
         held.append((row[0], row[1]))
         size += len(row[1] or "")
         if size >= BLOCK_BYTES:
@@ -209,15 +238,17 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 def hits(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text") -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, items (sorted as strings).
 
-    One block of the benchmark is broadcast at a time.  A benchmark of several blocks takes a pass for each; what a
+    One block of the benchmark is broadcast at a time, while the driver has the next one.  A benchmark of several blocks takes a pass for each; what a
     pass has found goes on to the next through shared scratch.
     """
     spark = docs.sparkSession
     found = f"stretches {STRETCHES}, items array<string>"
     rows = id_text(docs, id_col, text_col).withColumns({"stretches": F.array().cast(STRETCHES), "items": F.array().cast("array<string>")})
-    blocks = list(_blocks(benchmark, item_col, item_text)) or [[]]
-    for nth, block in enumerate(blocks):
-        held, last = spark.sparkContext.broadcast(build_tables(block)), nth == len(blocks) - 1
+    blocks = _blocks(benchmark, item_col, item_text)
+    block = next(blocks, [])
+    while True:
+        tables, block = build_tables(block), next(blocks, None)
+        held, last = spark.sparkContext.broadcast(tables), block is None
 
         def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):
@@ -227,7 +258,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text"
                 known = part.column("stretches").to_pylist()
                 for doc, x in stretches.items():
                     known[doc] = merged([(y["a"], y["b"]) for y in known[doc]] + x)
-                    told[doc] = sorted({*told[doc], *map(str, items[doc])})
+                    told[doc] = sorted({*told[doc], *items[doc]})
                 ids, kind = pa.array(told, pa.list_(pa.string())), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
                 if last:
                     hit = [sum(y["b"] - y["a"] for y in x) for x in known]
@@ -238,7 +269,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text"
         if last:
             return map_arrow(rows, run, "doc_id long, n_words long, n_hit long, items array<string>")
         rows = materialise(map_arrow(rows, run, "doc_id long, text binary, " + found), "hits")
-    raise AssertionError("there is one block at least")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

@@ -419,6 +419,82 @@ def test_licenses(some, none, spark):
     assert all("licen" in text.lower() for _, text in licenses.NOTICES)
 
 
+def test_canonical_licence_text(spark):
+    texts = [
+        "licence licence licence", "license license license",
+        "(c) 2020 one line that is a whole document", "(c) 2021 another line that is a whole document", "",
+        "Copyright (c) 2020 A\nsome words", "some words", "(c) You must keep this\nsome words", "x" * 300 + " copyright 2020\nsome words",
+        "copyright 2020 " + "y " * 200 + "\nsome words", " ".join(["sub licence copyright owner"] * 50_000), " ".join(["sublicense copyright holder"] * 50_000),
+    ]
+    a = [r.canonical_sha256 for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert a[0] == a[1] and a[10] == a[11] and a[5] == a[6]
+    assert len({a[0], a[2], a[3], a[4], a[5], a[7], a[8], a[9], a[10]}) == 9
+
+
+def test_windows_of_several_items(spark):
+    """Items that share a passage, one without an id, ids as text: distinct windows, all their items."""
+    rows = [("b", "one two three four"), ("a", "one two three four"), (None, "five six"), ("10", "seven"), ("9", "x " + " ".join(WORDS)), ("8", "y " + " ".join(WORDS))]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    df = docs(spark, [(1, "zero one two three four five six " * 3), (2, "nothing"), (3, None), (4, " ".join(WORDS)), (5, "five six")])
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.hits(df, bench).collect()}
+    assert got == {1: (21, 18, ["a", "b"]), 2: (1, 0, []), 3: (0, 0, []), 4: (20, 20, ["8", "9"]), 5: (2, 2, [])}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()) == [2, 3]
+
+
+def test_blocks_are_taken_one_by_one(some, bench, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
+    taken, built = [], []
+    blocks, build = decontaminate._blocks, decontaminate.build_tables
+    monkeypatch.setattr(decontaminate, "_blocks", lambda *a: (taken.append(1) or x for x in blocks(*a)))
+    monkeypatch.setattr(decontaminate, "build_tables", lambda x: built.append(len(taken)) or build(x))
+    decontaminate.hits(some, bench)
+    assert len(taken) > 1 and built == list(range(1, len(taken) + 1))
+
+
+def test_only_known_patterns_are_read_by_chunk(tmp_path):
+    import json
+
+    spec = json.load(open(queries.tokenizer_path()))
+    assert encoding.Encoder._by_chunk(spec)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[a-z]+"}
+    assert not encoding.Encoder._by_chunk(spec)
+
+
+def test_sentences_longer_than_a_window_are_cut_inside_only():
+    sentence = np.zeros(100, bool)
+    sentence[5] = True
+    ids = np.full(400, 9, dtype="<u4")
+    ids[[40, 90, 110, 390]] = 5
+    places, fee = packing.candidate_cuts(ids, np.array([60, 400]), sentence, 128)
+    assert [p for p, f in zip(places, fee, strict=True) if f == packing.TRUNCATE] == [175, 239, 303, 367]
+    assert np.diff(places).max() <= 128
+
+
+def test_token_files_of_one_doc_id(spark, tokenizer):
+    """Rows that share a doc_id have starts in the order of the file, whatever follows."""
+    texts = [f"{w} {i}" for i, w in enumerate(WORDS * 10)]
+    path = scratch_path(spark, "test")
+    token_files.write_token_files(docs(spark, [(7, t) for t in texts]), path, queries.tokenizer_path())
+    want, at = [], 0
+    for t in sorted(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        want.append((7, at, len(ids), brute.crc(ids)))
+        at += len(ids)
+    assert rows(token_files.check_columns(spark, path)) == want
+
+
+def test_sharding_of_one_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_GROUP", 5)
+    got = sharding.assign(docs(spark, [(7, str(i)) for i in range(400)] + [(None, str(i)) for i in range(200)])).collect()
+    for key in (7, None):
+        mine = [r for r in got if r.doc_id == key]
+        assert len({r.shard for r in mine}) == 1
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer

@@ -2,38 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+
+from ..streaming.limiter import decide as step
+
+#: Decisions that a task hands on at a time.
+BATCH = 1 << 14
 
 
-def decide(attempts: DataFrame, key: str, ts: str, seq: str, limit: int, window: float = 60.0, keep_edge: bool = False, chunk: float = 86_400.0) -> DataFrame:
+def decide(attempts: DataFrame, key: str, ts: str, seq: str, limit: int, window: float = 60.0, keep_edge: bool = False) -> DataFrame:
     """accepted, used and retry_after of each attempt, in order of ts and seq.
 
-    Each decision depends on the ones before, so a key's attempts are folded in order.  A pause longer than the
-    window forgets everything, so a key's attempts are first cut at such pauses: the fold's groups are bursts, not
-    whole histories.  keep_edge: an attempt exactly one window old still counts (ts - old > window evicts),
-    else it is evicted (ts - old >= window evicts).
+    Each decision depends on the ones before, so attempts are sorted by key and time within partitions and go by as a stream:
+    what a task remembers is one key's accepted times, `limit` at most.  The cost is in step with the attempts, however many one
+    key has.  keep_edge: an attempt exactly one window old still counts (ts - old > window evicts), else it is evicted
+    (ts - old >= window evicts).
     """
-    w = Window.partitionBy(key).orderBy(ts, seq)
-    gap = F.col(ts) - F.lag(ts).over(w)
-    new = F.coalesce((gap > window).cast("int"), F.lit(1))
-    bursts = attempts.withColumn("_burst", F.sum(new).over(w))
-    entry = F.struct(F.col(ts).cast("double").alias("t"), F.col(seq).cast("long").alias("s"))
-    lists = bursts.groupBy(key, "_burst").agg(F.array_sort(F.collect_list(entry)).alias("a"))
-    zero = F.struct(F.array().cast("array<double>").alias("held"), F.array().cast("array<struct<t:double,s:bigint,accepted:boolean,used:int,retry_after:int>>").alias("out"))
-
-    def step(acc, x):
-        held = F.filter(acc["held"], lambda t: (x["t"] - t <= window) if keep_edge else (x["t"] - t < window))
-        ok = F.size(held) < limit
-        wait = F.greatest(F.lit(1), F.ceil(window - (x["t"] - F.try_element_at(held, F.lit(1)))).cast("int"))
-        one = F.struct(
-            x["t"].alias("t"),
-            x["s"].alias("s"),
-            ok.alias("accepted"),
-            (F.size(held) + ok.cast("int")).alias("used"),
-            F.when(~ok, wait).alias("retry_after"),
-        )
-        return F.struct(F.when(ok, F.concat(held, F.array(x["t"]))).otherwise(held).alias("held"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    folded = lists.select(key, F.explode(F.aggregate("a", zero, step, lambda acc: acc["out"])).alias("d"))
-    return folded.select(key, F.col("d.t").alias(ts), F.col("d.s").alias(seq), "d.accepted", "d.used", "d.retry_after")
+    rows = attempts.select(key, F.col(ts).cast("double").alias(ts), F.col(seq).cast("long").alias(seq))
+    kind = rows.schema[key].dataType
+    schema = StructType([StructField(key, kind), StructField(ts, DoubleType()), StructField(seq, LongType()), StructField("accepted", BooleanType()), StructField("used", IntegerType()), StructField("retry_after", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, held = object(), []
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch, told = whole.slice(at, BATCH), []
+                for k, now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if k != owner:
+                        owner, held = k, []
+                    held, ok, wait = step(held, now, limit, window, keep_edge)
+                    told.append((ok, len(held), wait))
+                ok, used, wait = zip(*told, strict=True)
+                yield pa.record_batch([*batch.columns, pa.array(ok, pa.bool_()), pa.array(used, pa.int32()), pa.array(wait, pa.int32())], schema.names)
+
+    return rows.repartition(key).sortWithinPartitions(key, ts, seq).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import evaluate, export, limiter, lines, records
+from ..operators import evaluate, export, lines, records
 from ..schemas import FIELDS, RESPONSIBLE
 from ..sources import readers
 from ..sources import rules as rule_source
@@ -117,24 +117,13 @@ def orientation_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("o_custkey").agg(F.max_by("o_orderpriority", score).alias("angle"))
 
 
-@query(
-    "WITH a AS (SELECT user_id AS request_id, event_id AS ordinal, event_type AS model, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'signup' THEN 'stop' WHEN 'view' THEN 'malformed' ELSE 'transient' END AS outcome FROM events WHERE event_id % 10 = 0), "
-    "o AS (SELECT *, coalesce(sum(CASE WHEN outcome IN ('ok', 'stop') THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM a) "
-    "SELECT request_id, arg_max(CASE WHEN outcome IN ('ok', 'stop') THEN outcome ELSE 'exhausted' END, ordinal) AS state, arg_max(model, ordinal) AS model, count(*) AS attempts FROM o WHERE done = 0 GROUP BY 1"
-)
-def routed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcome = F.expr("CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'signup' THEN 'stop' WHEN 'view' THEN 'malformed' ELSE 'transient' END")
-    rows = read(spark, sf_dir, "events").where("event_id % 10 = 0")
-    return readers.routed(rows.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("model"), outcome.alias("outcome")))
-
-
 @query(
     "WITH a AS (SELECT user_id AS request_id, event_id AS ordinal, event_type AS model, CASE WHEN value >= 200 THEN 'ok' WHEN value < 1 THEN 'stop' WHEN event_type = 'view' THEN 'malformed' ELSE 'transient' END AS outcome FROM events), "
     "o AS (SELECT *, coalesce(sum(CASE WHEN outcome IN ('ok', 'stop') THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM a) "
     "SELECT request_id, arg_max(CASE WHEN outcome IN ('ok', 'stop') THEN outcome ELSE 'exhausted' END, ordinal) AS state, arg_max(model, ordinal) AS model, count(*) AS attempts FROM o WHERE done = 0 GROUP BY 1"
 )
-def routed_attempts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """routed_attempts over all events; outcomes follow from value, so that each state occurs."""
+def routed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes follow from value, so that each state occurs."""
     outcome = F.expr("CASE WHEN value >= 200 THEN 'ok' WHEN value < 1 THEN 'stop' WHEN event_type = 'view' THEN 'malformed' ELSE 'transient' END")
     rows = read(spark, sf_dir, "events")
     return readers.routed(rows.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("model"), outcome.alias("outcome")))
@@ -149,10 +138,3 @@ def uncached_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, CASE WHEN s_suppkey < 1024 THEN s_suppkey || ' B' ELSE CAST(CAST(s_suppkey / 1024 AS DECIMAL(18,1)) AS VARCHAR) || ' KB' END AS size, 'Net Quantity' AS label, 'INR 5 &lt;b&gt;' AS shown FROM supplier")
 def display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select("s_suppkey", text.file_size(F.col("s_suppkey")).alias("size"), text.field_label(F.lit("net_quantity")).alias("label"), text.pdf_text(F.lit("₹5 <b>")).alias("shown"))
-
-
-@query("SELECT user_id, count(*) AS attempts FROM events GROUP BY 1")
-def limiter_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every attempt gets one decision."""
-    rows = read(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("seq"))
-    return limiter.decide(rows, "user_id", "ts", "seq", limit=3, window=7200.0, keep_edge=True).groupBy("user_id").agg(F.count("*").alias("attempts"))

@@ -256,7 +256,20 @@ def correction_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixes.overlay(told, changes).select("inspection_id", "field", "value", F.col("confidence").cast("decimal(6,3)").alias("confidence"), "source", "original_value")
 
 
-@query()
+_OVERLAID = (
+    "SELECT coalesce(e.inspection_id, c.inspection_id) AS inspection_id, coalesce(e.field, c.field) AS field, coalesce(fixed, value) AS value, CASE WHEN fixed IS NOT NULL THEN 1 ELSE confidence END AS confidence "
+    f"FROM ({plain(EVIDENCE)}) e FULL JOIN ({_LATEST_FIX}) c ON c.inspection_id = e.inspection_id AND c.field = e.field"
+)
+
+
+def _verdicts_of(evidence: str) -> str:
+    return _FINDINGS.replace(plain(EVIDENCE), evidence) + _VERDICTS + " SELECT inspection_id, overall_status FROM verdicts"
+
+
+@query(
+    f"SELECT a.inspection_id, a.overall_status, b.overall_status AS original_overall_status FROM ({_verdicts_of(_OVERLAID)}) a JOIN ({_verdicts_of(plain(EVIDENCE))}) b USING (inspection_id) "
+    f"WHERE inspection_id IN (SELECT inspection_id FROM ({_LATEST_FIX}))"
+)
 def correction_reevaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     told, contexts, rules = _screened(spark, sf_dir)
     return fixes.reevaluate(told, frame(spark, sf_dir, CORRECTIONS, "events"), contexts, rules)
@@ -291,39 +304,21 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.array_join(text.ordered_distinct(F.col("seen"), "at", "event_type"), ",").alias("types"))
 
 
-@query(
-    "WITH v AS (SELECT user_id, event_type, count(DISTINCT event_id % 3) AS passes, count(*) AS readings, max(value) AS confidence FROM events WHERE event_id % 4 = 0 GROUP BY 1, 2), "
-    "n AS (SELECT *, row_number() OVER w AS k, lead(passes) OVER w AS p2, lead(readings) OVER w AS r2 FROM v WINDOW w AS (PARTITION BY user_id ORDER BY passes DESC, readings DESC, confidence DESC, event_type)) "
-    "SELECT user_id, CASE WHEN passes = p2 AND readings = r2 THEN NULL ELSE event_type END AS event_type, passes, readings FROM n WHERE k = 1"
-)
-def malformed_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").where("event_id % 4 = 0").select("user_id", "event_type", (F.col("event_id") % 3).alias("pass"), F.col("value").alias("confidence"))
-    return lines.malformed_vote(rows, ["user_id"], "event_type", "pass")
-
-
 @query(
     "WITH v AS (SELECT user_id, event_type, count(DISTINCT event_id % 3) AS passes, count(*) AS readings, max(value) AS confidence FROM events GROUP BY 1, 2), "
     "n AS (SELECT *, row_number() OVER w AS k, lead(passes) OVER w AS p2, lead(readings) OVER w AS r2 FROM v WINDOW w AS (PARTITION BY user_id ORDER BY passes DESC, readings DESC, confidence DESC, event_type)) "
     "SELECT user_id, CASE WHEN passes = p2 AND readings = r2 THEN NULL ELSE event_type END AS event_type, passes, readings FROM n WHERE k = 1"
 )
-def malformed_vote_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """malformed_vote over all events."""
+def malformed_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select("user_id", "event_type", (F.col("event_id") % 3).alias("pass"), F.col("value").alias("confidence"))
     return lines.malformed_vote(rows, ["user_id"], "event_type", "pass")
 
 
-@query("SELECT event_type, 'a' AS pass, count(*) AS n FROM events WHERE value > 50 GROUP BY 1 UNION ALL SELECT event_type, 'b', count(*) FROM events WHERE event_id % 2 = 0 GROUP BY 1")
-def union_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    both = events.where("value > 50").withColumn("pass", F.lit("a")).unionByName(events.where("event_id % 2 = 0").withColumn("pass", F.lit("b")))
-    return both.groupBy("event_type", "pass").agg(F.count("*").alias("n"))
-
-
 @query(
     "SELECT event_type, 'a' AS pass, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 "
     "UNION ALL SELECT event_type, 'b', count(*) FROM events WHERE event_type IS NULL OR event_type NOT IN ('click', 'view') GROUP BY 1"
 )
-def union_all_passes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def union_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two passes that split all events by type: each event is in one of them."""
     events = read(spark, sf_dir, "events").select("event_type")
     first = F.coalesce(F.col("event_type").isin("click", "view"), F.lit(False))
@@ -440,10 +435,32 @@ def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.words_to_lines(words, ["panel"]).select("panel", "line_no", "text", "x1", "x2")
 
 
-@query()
+def _limited_sql(limit: int, window: int, evicts: str) -> str:
+    """The decisions, one attempt of each user after the other."""
+    return f"""
+WITH RECURSIVE a AS (SELECT user_id, event_id AS seq, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT user_id, n, t, seq, true AS accepted, [t] AS held, NULL::INT AS retry_after FROM a WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, t, seq, len(k) < {limit}, CASE WHEN len(k) < {limit} THEN list_append(k, t) ELSE k END,
+    CASE WHEN len(k) >= {limit} THEN greatest(1, ceil({window} - (t - k[1])))::INT END
+  FROM (SELECT a.*, list_filter(r.held, lambda x: NOT (a.t - x {evicts} {window})) AS k FROM r JOIN a ON a.user_id = r.user_id AND a.n = r.n + 1)
+)
+SELECT user_id, t AS ts, seq, accepted, len(held)::INT AS used, retry_after FROM r"""
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("seq"))
+
+
+@query(_limited_sql(2, 36_000, ">="))
 def sliding_log_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attempts = read(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("seq"))
-    return limiter.decide(attempts, "user_id", "ts", "seq", limit=2, window=36_000.0)
+    return limiter.decide(_attempts(spark, sf_dir), "user_id", "ts", "seq", limit=2, window=36_000.0)
+
+
+@query(_limited_sql(3, 7200, ">"))
+def limiter_keeping_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limiter.decide(_attempts(spark, sf_dir), "user_id", "ts", "seq", limit=3, window=7200.0, keep_edge=True)
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")

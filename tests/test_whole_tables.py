@@ -23,7 +23,7 @@ def rows(spark, name):
     return {tuple(r) for r in screening.QUERIES[name](spark, SF).collect()}
 
 
-def test_routed_attempts_all(spark):
+def test_routed_attempts(spark):
     want = set()
     for user, events in users().items():
         for n, e in enumerate(events, 1):
@@ -31,11 +31,11 @@ def test_routed_attempts_all(spark):
             if state != "exhausted" or n == len(events):
                 want.add((user, state, e["event_type"], n))
                 break
-    assert rows(spark, "routed_attempts_all") == want
+    assert rows(spark, "routed_attempts") == want
     assert {x[1] for x in want} == {"ok", "stop", "exhausted"}
 
 
-def test_malformed_vote_all(spark):
+def test_malformed_vote(spark):
     want = set()
     for user, events in users().items():
         kinds = defaultdict(list)
@@ -44,7 +44,7 @@ def test_malformed_vote_all(spark):
         votes = sorted((-len({e["event_id"] % 3 for e in x}), -len(x), -max(e["value"] for e in x), k) for k, x in kinds.items())
         first, second = votes[0], (votes + [None])[1]
         want.add((user, None if second and first[:2] == second[:2] else first[3], -first[0], -first[1]))
-    assert rows(spark, "malformed_vote_all") == want
+    assert rows(spark, "malformed_vote") == want
     assert any(x[1] is None for x in want) and any(x[1] for x in want)
 
 
@@ -80,8 +80,8 @@ def test_contact_extract_all(spark, tmp_path):
     assert {x[3] for x in want} == {"email", "web", "phone"}
 
 
-def test_union_all_passes_all(spark):
+def test_union_all_passes(spark):
     kinds = [e["event_type"] for events in users().values() for e in events]
-    got = rows(spark, "union_all_passes_all")
+    got = rows(spark, "union_all_passes")
     assert got == {(k, "a" if k in ("click", "view") else "b", kinds.count(k)) for k in kinds}
     assert sum(x[2] for x in got) == len(kinds)

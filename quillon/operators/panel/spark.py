@@ -8,6 +8,7 @@ similarity that built-in functions lack, hence the grouped pandas function.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,6 +48,11 @@ def lines_of(frame: pd.DataFrame) -> list[Line]:
     ]
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows over all shuffle partitions: reading costs far more than their bytes tell, so partitions must not be merged by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def extract_panels(lines: DataFrame) -> DataFrame:
     """panel_lines -> a row for each panel and declared field, as evidence."""
 
@@ -55,7 +61,7 @@ def extract_panels(lines: DataFrame) -> DataFrame:
         found = extract(lines_of(frame))
         return pd.DataFrame([(panel, f, e.value, float(e.confidence), _struct(e.box)) for f, e in found.items()], columns=["panel_id", "field", "value", "confidence", "box"])
 
-    return lines.groupBy("panel_id").applyInPandas(one, EVIDENCE)
+    return _dealt(lines, "panel_id").groupBy("panel_id").applyInPandas(one, EVIDENCE)
 
 
 def retries(lines: DataFrame) -> DataFrame:
@@ -63,29 +69,29 @@ def retries(lines: DataFrame) -> DataFrame:
         panel, read = int(frame["panel_id"].iloc[0]), lines_of(frame)
         return pd.DataFrame([(panel, f, _struct(b)) for f, b in retry_regions(read, extract(read))], columns=["panel_id", "field", "box"])
 
-    return lines.groupBy("panel_id").applyInPandas(one, f"panel_id bigint, field string, box {BOX}")
+    return _dealt(lines, "panel_id").groupBy("panel_id").applyInPandas(one, f"panel_id bigint, field string, box {BOX}")
+
+
+@lru_cache(maxsize=1 << 16)
+def _alone(text: str, confidence: float, field: str, provenance: str | None) -> str | None:
+    """A field's value in one line of its own; readers repeat texts, so answers are kept."""
+    box = (0, 0, 1000, 100)
+    return extract([Line(0, text, confidence, box, [(text, confidence, box)], provenance, provenance)], (field,))[field].value
 
 
 def extract_texts(rows: DataFrame, text: str, confidence: str, field: str, provenance: str | None, out: str) -> DataFrame:
-    """Adds column `out`: what a field's extractor finds in a text that stands alone as one line; no shuffle.
+    """Adds column `out`: what a field's extractor finds in a text that stands alone as one line.  Equal texts meet, and are read once.
 
     provenance: the pass name that the line carries, or None; with one, weak readings are refused.
     """
     from pyspark.sql import functions as F
     from pyspark.sql.types import StringType, StructField, StructType
 
-    box = (0, 0, 1000, 100)
     schema = StructType([*rows.schema.fields, StructField(out, StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            values = []
-            for t, c, f in zip(frame[text], frame[confidence], frame[field], strict=True):
-                if not _text(t) or f not in FIELDS:
-                    values.append(None)
-                    continue
-                line = Line(0, t, float(c), box, [(t, float(c), box)], provenance, provenance)
-                values.append(extract([line], (f,))[f].value)
+            values = [_alone(t, float(c), f, provenance) if _text(t) and f in FIELDS else None for t, c, f in zip(frame[text], frame[confidence], frame[field], strict=True)]
             yield frame.assign(**{out: pd.Series(values, index=frame.index, dtype=object)})
 
-    return rows.mapInPandas(run, schema).withColumn(out, F.col(out))
+    return _dealt(rows, text, field).mapInPandas(run, schema).withColumn(out, F.col(out))

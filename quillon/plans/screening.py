@@ -11,6 +11,7 @@ from ..functions import canonical, geometry, text
 from ..operators import corrections as fixes
 from ..operators import evaluate, ledger, limiter, lines, reconcile
 from ..operators.panel import shapes
+from ..schemas import FIELDS
 from ..sources import rules as rule_source
 from ..sources.tables import read
 from .standins import BOXES, CONTEXTS, CORRECTIONS, EVIDENCE, frame, plain
@@ -581,7 +582,27 @@ FROM (SELECT *, posexplode(array(
 """
 
 
-@query()
+# What each line declares: the place of its label and of its value, and how sure the value's shape is.
+_DECLARED = """
+  ('common_or_generic_name', 0, '^Common Name', ': (.*)$', 0.98), ('manufacturer_name', 1, '^Manufactured by', ': (.*?), Plot', 0.98), ('manufacturer_address', 1, '^Manufactured by', ', (Plot.*)$', 0.96),
+  ('net_quantity', 2, '^Net Quantity', ': (.*)$', 1), ('mrp', 3, '^MRP', ': (.*)$', 1), ('date_of_manufacture', 4, '^Pkd ', ': (.*)$', 1), ('consumer_care_contact', 5, '^Consumer Care', ': (.*)$', 1),
+  ('country_of_origin', 6, '^Country of Origin', ': (.*)$', 1)"""
+_FIELD_ROWS = ", ".join(f"('{f}', {i})" for i, f in enumerate(FIELDS))
+
+
+@query(
+    f"""
+WITH fields(field, ordinal) AS (VALUES {_FIELD_ROWS}), declared(field, line, label, shape, sure) AS (VALUES {_DECLARED}),
+lines AS (SELECT p_partkey AS panel_id, unnest(range(7)) AS line, unnest(['Common Name: Roasted Nuts', 'Manufactured by: ' || replace(p_brand, '#', ' ') || ' Foods Pvt Ltd, Plot 5, Sector 9, Pune 411001',
+  'Net Quantity: ' || p_size || CASE WHEN p_partkey % 5 = 0 THEN ' pieces' ELSE ' g' END, 'MRP: ₹' || CAST(p_retailprice AS DECIMAL(12,2)), 'Pkd on: 12 AUG 2026', 'Consumer Care: 1800 123 4567',
+  'Country of Origin: India']) AS text FROM part),
+spans AS (SELECT *, length(text) AS n, length(regexp_extract(text, label)) AS label_end, regexp_extract(text, shape, 1) AS value FROM lines JOIN declared USING (line)),
+placed AS (SELECT *, strpos(text, value) - 1 AS a, strpos(text, value) - 1 + length(value) AS b FROM spans),
+scored AS (SELECT *, round(0.28 + 0.27 * sure + (0.09 + 0.05) * 0.94 + 0.23 * greatest(0.9, 1 - 0.18 * (a - label_end) / n::DOUBLE) + 0.08, 4) AS score FROM placed)
+SELECT p_partkey AS panel_id, f.field, value, CAST(CASE WHEN value IS NULL THEN 0 ELSE round(least(0.99, 0.6 * score + 0.24 * 0.94 + 0.16 * sure), 3) END AS DECIMAL(6,3)) AS confidence,
+  CASE WHEN value IS NOT NULL THEN 40 END AS x1, 40 + 70 * line AS y1, CASE WHEN value IS NOT NULL THEN least(470, 44 + floor(b * 430.0 / n))::INT END AS x2, 68 + 70 * line AS y2
+FROM part CROSS JOIN fields f LEFT JOIN scored s ON s.panel_id = p_partkey AND s.field = f.field"""
+)
 def panel_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.panel.spark import extract_panels
 
@@ -603,7 +624,25 @@ FROM (SELECT *, inline(array(
 """
 
 
-@query()
+@query(
+    f"""
+WITH fields(field, ordinal) AS (VALUES {_FIELD_ROWS}),
+told AS (SELECT p_partkey AS id, unnest([
+  {{'nth': 0, 'field': 'mrp', 'shape': '₹[0-9.]+', 'score': 0.93, 'shown': 'MRP ₹' || CAST(p_retailprice AS DECIMAL(12,2)), 'place': true}},
+  {{'nth': 1, 'field': 'mrp', 'shape': '₹[0-9.]+', 'score': 0.91, 'shown': 'MRP ₹' || CAST(p_retailprice + p_partkey % 2 AS DECIMAL(12,2)), 'place': true}},
+  {{'nth': 2, 'field': 'net_quantity', 'shape': '[0-9]+ g', 'score': CASE WHEN p_partkey % 7 = 0 THEN 0.6 ELSE 0.97 END, 'shown': 'Net Quantity: ' || p_size || ' g', 'place': p_partkey % 9 <> 0}},
+  {{'nth': 3, 'field': 'consumer_care_contact', 'shape': '[a-z]+@[a-z.]+', 'score': 0.9, 'shown': 'Consumer care: care@example.com', 'place': true}},
+  {{'nth': 4, 'field': 'consumer_care_contact', 'shape': '[0-9 ]{{10,}}', 'score': 0.88, 'shown': 'Consumer care: 1800 123 4567', 'place': true}}]) AS c FROM part),
+read AS (SELECT id, c.nth AS nth, c.field AS field, c.score AS score, c.place AS place, CASE WHEN c.score >= 0.78 OR c.field = 'consumer_care_contact' THEN trim(regexp_extract(c.shown, c.shape)) END AS value FROM told),
+grouped AS (SELECT id, field, count(DISTINCT value) FILTER (WHERE place) AS keys, count(*) FILTER (value IS NULL OR NOT place) AS refused,
+  arg_max(value, score) FILTER (WHERE place) AS best, max(score) FILTER (place AND value IS NOT NULL) AS top, min(score) FILTER (place AND value IS NOT NULL) AS least, string_agg(value, ', ' ORDER BY nth) FILTER (WHERE place) AS every FROM read GROUP BY 1, 2),
+out AS (SELECT p_partkey AS inspection_id, f.field, coalesce(refused, 0)::INT AS n_rejected, coalesce(keys, 0) AS keys, f.field = 'consumer_care_contact' AS joined, best, top, least, every
+  FROM part CROSS JOIN fields f LEFT JOIN grouped g ON g.id = p_partkey AND g.field = f.field)
+SELECT inspection_id, field, CASE WHEN joined THEN every WHEN keys = 1 THEN best END AS value, CAST(coalesce(CASE WHEN joined THEN least(0.95, least) WHEN keys = 1 THEN least(0.95, top) END, 0) AS DECIMAL(6,3)) AS confidence,
+  CASE WHEN joined AND keys > 0 OR keys = 1 THEN 'VALIDATED' WHEN keys > 1 THEN 'CONFLICT' ELSE 'MISSING' END AS state, n_rejected > 0 OR (keys > 1 AND NOT joined) AS review_required, n_rejected,
+  CASE WHEN keys > 0 THEN 400 END AS x1, CASE WHEN keys > 0 THEN 100 END AS y1, CASE WHEN keys > 0 THEN 1600 END AS x2, CASE WHEN keys > 0 THEN 600 END AS y2
+FROM out"""
+)
 def reader_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = frame(spark, sf_dir, _READ, "part")
     sizes = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("inspection_id"), F.lit("clear").alias("image_readability"), F.lit(2000).alias("image_width"), F.lit(1000).alias("image_height"))

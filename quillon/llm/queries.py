@@ -87,4 +87,47 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY sha)
 """
 
-SQL: dict[str, str] = {"op6_licenses": licenses.scan_sql(), "op8_exact_duplicates": _EXACT}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_NEAR = f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(words[i:i + 4], ' ') AS x FROM (SELECT k, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.k AS a, b.k AS b, count(*) AS same FROM s a JOIN s b ON a.x = b.x AND a.k <> b.k GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * same >= 85 * (x.n + y.n - same)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a AS k, min(doc_id) AS low FROM reach JOIN w ON w.k = b GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept
+FROM w LEFT JOIN n USING (k) LEFT JOIN lowest USING (k)
+"""
+
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM b
+"""
+
+_WORDS = f"regexp_extract_all({_LOW}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+_LEAKS = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS words FROM benchmark),
+items AS (SELECT DISTINCT item, least(10, len(words)) AS n, array_to_string(words[i:i + 9], ' ') AS x FROM (SELECT item, words, unnest(range(1, greatest(2, len(words) - 8))) AS i FROM b WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM items),
+places AS (SELECT k, n, i, array_to_string(words[i:i + n - 1], ' ') AS x FROM (SELECT k, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d CROSS JOIN sizes WHERE len(words) >= n)),
+found AS (SELECT k, p.n AS n, i, item FROM places p JOIN items USING (n, x)),
+hit AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT k, n, i FROM found)) GROUP BY 1),
+told AS (SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY 1)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN told USING (k)
+"""
+
+SQL: dict[str, str] = {
+    "op2_near_duplicates": _NEAR,
+    "op5_warc": _WARC,
+    "op6_licenses": licenses.scan_sql(),
+    "op8_exact_duplicates": _EXACT,
+    "op10_decontamination": _LEAKS,
+}

@@ -143,20 +143,5 @@ class Panel:
         crossing = all(min(a[k + 2], b[k + 2]) > max(a[k], b[k]) for k in (0, 1))
         return crossing or apart(a, b) <= self.reach(1.8, 0.015)
 
-    def relation(self, a: Line, b: Line) -> tuple[str, float, float, float] | None:
-        """How two different lines stand to each other: name, score, distance, penalty."""
-        if not a.box or not b.box:
-            return None
-        distance = math.dist(a.middle, b.middle)
-        share = distance / max(1.0, self.diagonal)
-        for name, same, floor, start, slope in (
-            ("row", a.row == b.row, 0.68, 0.96, 0.65),
-            ("column", a.column == b.column, 0.60, 0.88, 0.75),
-            ("block", a.block == b.block, 0.54, 0.78, 0.70),
-        ):
-            if same:
-                return name, max(floor, start - slope * share), distance, 0.0
-        return "nearby", max(0.18, 0.62 - 0.8 * share), distance, 0.0 if a.column == b.column else 0.10
-
     def same_region(self, a: Line, b: Line) -> bool:
         return a.block == b.block or (a.row >= 0 and a.row == b.row) or (a.column >= 0 and a.column == b.column)

@@ -9,6 +9,7 @@ from ..functions import geometry
 from ..functions.canonical import severity
 from ..functions.text import normalised
 from ..schemas import RESPONSIBLE, ROLES
+from ..sources.rules import CUSTOM
 
 
 def _matches(value: Column, check_types: list[tuple[str, str | None]]) -> Column:
@@ -20,6 +21,13 @@ def _matches(value: Column, check_types: list[tuple[str, str | None]]) -> Column
     return out
 
 
+def _passes_custom(value: Column) -> Column:
+    out = F.lit(False)
+    for name, passes in CUSTOM.items():
+        out = F.when(F.col("check_type") == name, F.coalesce(passes(value), F.lit(False))).otherwise(out)
+    return out
+
+
 def evaluate(evidence: DataFrame, contexts: DataFrame, rules: DataFrame) -> DataFrame:
     """A finding for each inspection and each rule that applies to it.
 
@@ -39,7 +47,7 @@ def evaluate(evidence: DataFrame, contexts: DataFrame, rules: DataFrame) -> Data
     status = (
         F.when(missing | (sure < F.col("confidence_floor")), "UNCERTAIN")
         .when(F.col("check_type") == "all_present", "PASS")
-        .when(_matches(normalised(F.col("value")), patterns), "PASS")
+        .when(_matches(normalised(F.col("value")), patterns) | _passes_custom(normalised(F.col("value"))), "PASS")
         .otherwise("FAIL")
     )
     note = (

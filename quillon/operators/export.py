@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import clamped, valid
 from ..functions.text import field_label, guarded_cell
+from .records import with_provenance
 
 HISTORY = ("inspection_id", "original_filename", "created_at", "overall_status", "quality_status", "package_scope", "review_status")
 
@@ -24,8 +25,11 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.select(*HISTORY).write.json(path)
 
 
-def report_sections(inspections: DataFrame, findings: DataFrame, rules: DataFrame, reviews: DataFrame, corrections: DataFrame, audit: DataFrame) -> dict[str, DataFrame]:
-    """One DataFrame for each section of a report, keyed by inspection_id."""
+def report_sections(inspections: DataFrame, findings: DataFrame, rules: DataFrame, reviews: DataFrame, corrections: DataFrame, audit: DataFrame, provenance: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One DataFrame for each section of a report, keyed by inspection_id; events carry seq, which orders them within a report.
+
+    provenance: inspection_id, field, state, review_required; with it there is a section on how each field was verified.
+    """
     base = inspections.select("inspection_id", "uuid", "original_filename", "created_at", "overall_status", "rule_engine_version")
     quality = inspections.select("inspection_id", "quality.*").withColumn("warnings", F.array_join("warnings", "; "))
     fields = inspections.select("inspection_id", F.explode("extracted_fields").alias("field", "v")).select(
@@ -34,16 +38,17 @@ def report_sections(inspections: DataFrame, findings: DataFrame, rules: DataFram
     told = rules.select("rule_id", F.col("description").alias("rule_description"))
     checked = findings.join(F.broadcast(told), "rule_id", "left")  # rules: bounded when read
     advice = inspections.select("inspection_id", F.posexplode(F.slice("recommendation", 1, 4)).alias("place", "line"))
-    return {
+    verified = {"verification": with_provenance(fields.select("inspection_id", "field", "label", "text"), provenance)} if provenance is not None else {}
+    return verified | {
         "metadata": base,
         "quality": quality,
         "fields": fields,
         "findings": checked,
         "summary": inspections.select("inspection_id", "ai_summary"),
         "recommendation": advice,
-        "reviews": reviews.orderBy("inspection_id", "seq"),
-        "corrections": corrections.orderBy("inspection_id", "seq"),
-        "audit": audit.orderBy("inspection_id", "seq"),
+        "reviews": reviews,
+        "corrections": corrections,
+        "audit": audit,
     }
 
 
@@ -56,6 +61,6 @@ def evidence_marks(findings: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def verdict_reasons(findings: DataFrame) -> DataFrame:
-    """Failures, then open points, in rule order."""
+    """Failures (place 0), then open points (1); by place and ordinal they are in rule order."""
     place = F.when(F.col("status") == "FAIL", 0).when(F.col("status") == "UNCERTAIN", 1)
-    return findings.withColumn("place", place).where("place is not null").orderBy("inspection_id", "place", "ordinal")
+    return findings.withColumn("place", place).where("place is not null")

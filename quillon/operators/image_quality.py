@@ -64,9 +64,67 @@ def sniff(content: Column) -> Column:
     )
 
 
+def _jpeg(raw: bytes) -> tuple[int, int] | None:
+    at = 2
+    while at + 9 <= len(raw) and raw[at] == 0xFF:
+        kind, size = raw[at + 1], int.from_bytes(raw[at + 2 : at + 4], "big")
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame header
+            return int.from_bytes(raw[at + 7 : at + 9], "big"), int.from_bytes(raw[at + 5 : at + 7], "big")
+        at += 1 if kind == 0xFF else 2 + size
+    return None
+
+
+def _webp(raw: bytes) -> tuple[int, int] | None:
+    little = lambda a, b: int.from_bytes(raw[a:b], "little")
+    kind = raw[12:16]
+    if kind == b"VP8X" and len(raw) >= 30:
+        return 1 + little(24, 27), 1 + little(27, 30)
+    if kind == b"VP8L" and len(raw) >= 25:
+        return 1 + (little(21, 25) & 0x3FFF), 1 + (little(21, 25) >> 14 & 0x3FFF)
+    if kind == b"VP8 " and len(raw) >= 30:
+        return little(26, 28) & 0x3FFF, little(28, 30) & 0x3FFF
+    return None
+
+
+def _tiff(raw: bytes) -> tuple[int, int] | None:
+    order = "little" if raw[:2] == b"II" else "big"
+    number = lambda a, n: int.from_bytes(raw[a : a + n], order)
+    table, found = number(4, 4), {}
+    for k in range(number(table, 2)):
+        at = table + 2 + 12 * k
+        found[number(at, 2)] = number(at + 8, 2 if number(at + 2, 2) == 3 else 4)
+    return (found[256], found[257]) if {256, 257} <= set(found) else None
+
+
+def size_of(raw: bytes | None, kind: str | None) -> tuple[int, int] | None:
+    """Width and height that an image's own header tells; None if it has none, or none that is positive."""
+    found = None
+    if kind == "PNG" and len(raw) >= 24 and raw[12:16] == b"IHDR":
+        found = int.from_bytes(raw[16:20], "big"), int.from_bytes(raw[20:24], "big")
+    elif kind == "BMP" and len(raw) >= 26:
+        found = int.from_bytes(raw[18:22], "little", signed=True), abs(int.from_bytes(raw[22:26], "little", signed=True))
+    elif kind in ("JPEG", "WEBP", "TIFF"):
+        found = {"JPEG": _jpeg, "WEBP": _webp, "TIFF": _tiff}[kind](raw)
+    return found if found and min(found) > 0 else None
+
+
 def admitted(files: DataFrame) -> DataFrame:
-    """binaryFile rows with sha256, format and reject_reason (null: admitted).  Spark's file source gives no row for
-    an empty file; rows from elsewhere may be empty."""
+    """binaryFile rows with sha256, format, size and reject_reason (null: admitted).  Spark's file source gives no row for
+    an empty file; rows from elsewhere may be empty.  Sizes come from the headers: pixels are not decoded here."""
+
+    @F.pandas_udf("width int, height int")
+    def sizes(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for content, kinds in parts:
+            found = [size_of(raw, k) or (None, None) for raw, k in zip(content, kinds, strict=True)]
+            yield pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
+
     kind = sniff(F.col("content"))
-    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too_large").when(kind.isNull(), "not_an_image")
-    return files.select("path", "length", F.sha2("content", 256).alias("image_sha256"), kind.alias("format"), reason.alias("reject_reason"))
+    # Only what may be an image of admissible length goes to Python.
+    looked = F.when((F.col("length") <= MOST_BYTES) & kind.isNotNull(), F.col("content"))
+    told = files.withColumn("format", kind).withColumn("size", sizes(F.coalesce(looked, F.lit(b"")), F.when(looked.isNotNull(), F.col("format"))))
+    pixels = F.col("size.width").cast("long") * F.col("size.height")
+    reason = (
+        F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too_large").when(F.col("format").isNull(), "not_an_image")
+        .when(pixels.isNull(), "undecodable").when(pixels > MOST_PIXELS, "too_many_pixels")
+    )
+    return told.select("path", "length", F.sha2("content", 256).alias("image_sha256"), "format", "size.width", "size.height", reason.alias("reject_reason"))

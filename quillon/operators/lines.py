@@ -74,3 +74,20 @@ def orientation_best(rows: DataFrame, group: list[str], angle: str) -> DataFrame
     """The turn with most label hits, then useful characters (500 count at most), then mean confidence; the first of equals."""
     score = F.struct(F.col("label_hits"), F.least(F.col("useful_chars"), F.lit(500)).alias("chars"), F.col("mean_confidence"), (-F.col(angle)).alias("o"))
     return rows.groupBy(*group).agg(F.max_by(F.col(angle), score).alias(angle))
+
+
+TOKENS = "array<struct<text:string,confidence:double,box:struct<x1:int,y1:int,x2:int,y2:int>>>"
+
+
+def tokens_of(text: Column, confidence: Column, box: Column) -> Column:
+    """A line's words with boxes in proportion to their places in it; for adapters that give a line's box alone."""
+    zero = F.struct(F.lit(1).alias("at"), F.array().cast(TOKENS).alias("out"))
+    share = lambda at: (box["x1"] + F.floor((box["x2"] - box["x1"]) * at / F.length(text))).cast("int")
+
+    def step(acc: Column, word: Column) -> Column:
+        begin = F.call_function("locate", word, text, acc["at"])
+        end = begin + F.length(word)
+        placed = F.when(box.isNotNull(), F.struct(share(begin - 1).alias("x1"), box["y1"].alias("y1"), share(end - 1).alias("x2"), box["y2"].alias("y2")))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(word.alias("text"), confidence.alias("confidence"), placed.alias("box")))).alias("out"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), zero, step, lambda acc: acc["out"])

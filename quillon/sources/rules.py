@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from importlib import resources
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULE = (
@@ -14,10 +15,19 @@ RULE = (
 )
 REQUIRED = ("rule_id", "rule_version", "active", "field", "source_citation", "description", "check_type", "severity_if_fail", "confidence_floor", "on_field_missing")
 CHECKS = ("presence_and_pattern", "all_present")
+#: Check types that a caller has added: from a normalised value to whether it passes.
+CUSTOM: dict[str, Callable[[Column], Column]] = {}
 #: What a rule set may hold: it is broadcast to every task.
 RULES_MAX = 10_000
 
 
+def register_check_type(name: str, passes: Callable[[Column], Column]) -> None:
+    """Rules may then have this check type; passes() takes the normalised value's Column and gives a boolean one."""
+    if name in CHECKS:
+        raise ValueError(f"{name} is a check type already")
+    CUSTOM[name] = passes
+
+
 class RuleError(ValueError):
     """A rule set that can't be used."""
 
@@ -38,7 +48,7 @@ def validate(rules: list[dict]) -> list[dict]:
             raise RuleError(f"rule {name}: on_field_missing must be UNCERTAIN")
         if not 0 <= float(rule["confidence_floor"]) <= 1:
             raise RuleError(f"rule {name}: confidence_floor must lie in 0..1")
-        if rule["check_type"] not in CHECKS:
+        if rule["check_type"] not in (*CHECKS, *CUSTOM):
             raise RuleError(f"rule {name}: unknown check_type {rule['check_type']}")
         if rule["check_type"] == "presence_and_pattern" and not rule.get("pattern"):
             raise RuleError(f"rule {name}: a pattern check needs a pattern")

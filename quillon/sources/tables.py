@@ -23,7 +23,7 @@ def append(df: DataFrame, root: str, table: str) -> None:
 
 
 #: Columns that arrive as JSON text, and what a broken one becomes.
-JSON_COLUMNS = {"extracted_fields": "map()", "findings": "array()", "quality": None, "context": None, "recommendation": "array()", "performance": "map()"}
+JSON_COLUMNS = {"extracted_fields": "map()", "findings": "array()", "quality": None, "context": None, "recommendation": "array()", "performance": "map()", "original_extracted_fields": None}
 
 
 def decode(raw: DataFrame, table: str = "inspections") -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillon.plans import records, screening  # noqa: F401
+from quillon.plans import records, screening, views  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,6 +1,7 @@
 """Rules, reconciliation, corrections, limiter, streams, decoding and exports on small rows."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -227,10 +228,13 @@ def test_image_gate(spark):
 
 
 def test_upload_admission(spark, tmp_path):
-    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"0" * 20)
+    header = lambda w, h: b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big")
+    (tmp_path / "a.png").write_bytes(header(640, 480))
     (tmp_path / "b.txt").write_bytes(b"hello")
+    (tmp_path / "c.png").write_bytes(header(8000, 5001))
+    (tmp_path / "d.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"0" * 20)
     got = {r.path[-5:]: (r.format, r.reject_reason) for r in image_quality.admitted(tables.read_uploads(spark, str(tmp_path))).collect()}
-    assert got == {"a.png": ("PNG", None), "b.txt": (None, "not_an_image")}
+    assert got == {"a.png": ("PNG", None), "b.txt": (None, "not_an_image"), "c.png": ("PNG", "too_many_pixels"), "d.png": ("PNG", "undecodable")}
     none = spark.createDataFrame([("x", 0, bytearray(b""))], "path string, length long, content binary")
     assert image_quality.admitted(none).first().reject_reason == "empty"
 
@@ -272,3 +276,44 @@ def test_readers(spark):
         return pd.DataFrame({"image_sha256": frame["image_sha256"], "model": "m", "schema_version": "v", "status": "ok", "result": "[]", "safe_error": None, "duration_ms": 1.0})
 
     assert readers.call(spark.createDataFrame([("a",), ("a",), ("b",)], "image_sha256 string"), read).count() == 2
+
+
+def test_added_check_type(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.sources import rules
+
+    rule = rules.default_rules()[0] | {"rule_id": "OWN-1", "check_type": "short", "pattern": None, "field": "mrp", "applicability": None, "confidence_floor": 0.5}
+    with pytest.raises(rules.RuleError):
+        rules.validate([rule])
+    with pytest.raises(ValueError):
+        rules.register_check_type("all_present", lambda v: F.lit(True))
+    rules.register_check_type("short", lambda v: F.length(v) < 5)
+    try:
+        told = spark.createDataFrame([(1, "mrp", "abc", 0.9), (2, "mrp", "abcdef", 0.9), (3, "mrp", "abc", 0.1)], "inspection_id long, field string, value string, confidence double")
+        told = told.withColumn("box", F.expr("CAST(NULL AS STRUCT<x1:INT,y1:INT,x2:INT,y2:INT>)"))
+        contexts = spark.createDataFrame([(i, "domestic") for i in (1, 2, 3)], "inspection_id long, package_scope string")
+        got = {r.inspection_id: r.status for r in evaluate.evaluate(told, contexts, rules.to_frame(spark, [rule])).collect()}
+    finally:
+        rules.CUSTOM.clear()
+    assert got == {1: "PASS", 2: "FAIL", 3: "UNCERTAIN"}
+
+
+def test_image_sizes_from_headers():
+    size = image_quality.size_of
+    assert size(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big"), "PNG") == (640, 480)
+    assert size(b"\xff\xd8\xff\xe0\0\x04ab\xff\xff\xc2\0\x11\x08\x01\xe0\x02\x80\x03", "JPEG") == (640, 480)
+    assert size(b"\xff\xd8\xff\xe0\0\x04ab", "JPEG") is None and size(b"\x89PNG", "PNG") is None
+    assert size(b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (639).to_bytes(3, "little") + (479).to_bytes(3, "little"), "WEBP") == (640, 480)
+    assert size(b"II*\0\x08\0\0\0\x02\0\0\x01\x03\0\x01\0\0\0\x80\x02\0\0\x01\x01\x04\0\x01\0\0\0\xe0\x01\0\0", "TIFF") == (640, 480)
+    assert size(b"BM" + b"\0" * 16 + (0).to_bytes(4, "little") + (480).to_bytes(4, "little"), "BMP") is None
+
+
+def test_limiter_takes_long_bursts(spark):
+    """100,000 attempts of one key without a pause, in seconds."""
+    from pyspark.sql import functions as F
+
+    began = time.perf_counter()
+    rows = spark.range(100_000).select(F.lit(1).alias("key"), (F.col("id") / 10).alias("ts"), F.col("id").alias("seq"))
+    assert limiter.decide(rows, "key", "ts", "seq", 5, 60.0).where("accepted").count() == 5 * 167
+    assert time.perf_counter() - began < 30

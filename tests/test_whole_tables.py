@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from quillon.operators.panel import shapes
-from quillon.plans import records, screening  # noqa: F401
+from quillon.plans import records, screening, views  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -137,7 +137,8 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "pages", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.sql(queries.SQL[name])
     df = run(spark, name)
     assert sorted(df.columns) == sorted(want.columns)

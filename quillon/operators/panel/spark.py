@@ -1,51 +1,46 @@
 """Panel extraction over DataFrames.
 
-A panel is one group of tens to hundreds of lines; panels are independent, so they are dealt by panel_id and
-read in Arrow batches.  Row clustering is an order-dependent fold and label matching needs spans and a word
-similarity that built-in functions lack, hence the grouped pandas function.
+A panel is one group of tens to hundreds of lines; panels are independent, so they are dealt by panel_id, sorted, and
+read from Arrow batches in one pass, all complete panels of a batch at once.  Row clustering is an order-dependent fold and
+label matching needs spans and a word similarity that built-in functions lack, hence the Python function.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ...schemas import BOX, FIELDS
-from .fields import extract, retry_regions
-from .geometry import Line
+from .fields import extract, extract_all, retry_regions
+from .geometry import Box, Line
 
-EVIDENCE = f"panel_id bigint, field string, value string, confidence double, box {BOX}"
+CORNERS = ("x1", "y1", "x2", "y2")
+#: Lines of panels that are read at once.
+AT_ONCE = 10_000
 
 
-def _box(b):
-    return None if b is None else (b["x1"], b["y1"], b["x2"], b["y2"])
+def _text(x):
+    return x if isinstance(x, str) and x else None
 
 
-def _struct(b):
-    return None if b is None else dict(zip(("x1", "y1", "x2", "y2"), map(int, b), strict=True))
+def _box(*corners: int | None) -> Box | None:
+    return None if None in corners else corners
 
 
-def _text(x):
-    return x if isinstance(x, str) and x else None
+def _sure(x: float | None) -> float:
+    return float("nan") if x is None else x
 
 
-def lines_of(frame: pd.DataFrame) -> list[Line]:
-    rows = frame.sort_values("line_idx").to_dict("records")
-    return [
-        Line(
-            int(r["line_idx"]),
-            r["text"] or "",
-            float(r["confidence"]),
-            _box(r["box"]),
-            [(t["text"], t["confidence"], _box(t["box"])) for t in (r["tokens"] if r["tokens"] is not None else [])],
-            _text(r["block_id"]),
-            _text(r["source_pass"]),
-        )
-        for r in rows
-    ]
+def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int, Line]]:
+    """A batch's lines, each with its panel."""
+    for panel, place, text, confidence, tokens, block, source, *box in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        said = [(t["text"], t["confidence"], t["box"] and _box(*(t["box"][c] for c in CORNERS))) for t in tokens or ()]
+        yield panel, Line(place, text or "", _sure(confidence), _box(*box), said, block or None, source or None)
 
 
 def _dealt(rows: DataFrame, *by: str) -> DataFrame:
@@ -53,23 +48,60 @@ def _dealt(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+Panels = list[tuple[int, list[Line]]]
+
+
+def _by_panel(lines: DataFrame, read: Callable[[Panels], tuple[list, ...]], schema: str) -> DataFrame:
+    """What `read` tells of panels: columns of `schema`, then the corners of a box, which become the column box."""
+    names = [*(part.split()[0] for part in schema.split(", ")), *CORNERS]
+
+    def told(panels: Panels) -> pa.RecordBatch:
+        kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+        types = [*(kinds[part.split()[1]] for part in schema.split(", ")), *[pa.int32()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(read(panels), types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        panels, waiting = [], 0
+        for batch in batches:
+            for panel, line in _lines(batch):
+                if not panels or panels[-1][0] != panel:
+                    if waiting >= AT_ONCE:
+                        yield told(panels)
+                        panels, waiting = [], 0
+                    panels.append((panel, []))
+                panels[-1][1].append(line)
+                waiting += 1
+        if panels:
+            yield told(panels)
+
+    rows = lines.select("panel_id", "line_idx", "text", F.col("confidence").cast("double"), "tokens", "block_id", "source_pass", *(f"box.{c}" for c in CORNERS))
+    out = _dealt(rows, "panel_id").sortWithinPartitions("panel_id", "line_idx").mapInArrow(run, f"{schema}, " + ", ".join(f"{c} int" for c in CORNERS))
+    return out.select(*names[:-4], F.when(F.col("x1").isNotNull(), F.struct(*CORNERS)).cast(BOX).alias("box"))
+
+
+def _columns(rows: list[tuple], n: int) -> tuple[list, ...]:
+    """Rows that end in a box, as columns."""
+    nowhere = (None,) * 4
+    flat = [(*r[:-1], *(map(int, r[-1]) if r[-1] else nowhere)) for r in rows]
+    return tuple(map(list, zip(*flat, strict=True))) if flat else tuple([] for _ in range(n + 4))
+
+
 def extract_panels(lines: DataFrame) -> DataFrame:
     """panel_lines -> a row for each panel and declared field, as evidence."""
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        panel = int(frame["panel_id"].iloc[0])
-        found = extract(lines_of(frame))
-        return pd.DataFrame([(panel, f, e.value, float(e.confidence), _struct(e.box)) for f, e in found.items()], columns=["panel_id", "field", "value", "confidence", "box"])
+    def read(panels: Panels) -> tuple[list, ...]:
+        found = extract_all([x for _, x in panels])
+        return _columns([(p, f, e.value, e.confidence, e.box) for (p, _), some in zip(panels, found, strict=True) for f, e in some.items()], 4)
 
-    return _dealt(lines, "panel_id").groupBy("panel_id").applyInPandas(one, EVIDENCE)
+    return _by_panel(lines, read, "panel_id bigint, field string, value string, confidence double")
 
 
 def retries(lines: DataFrame) -> DataFrame:
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        panel, read = int(frame["panel_id"].iloc[0]), lines_of(frame)
-        return pd.DataFrame([(panel, f, _struct(b)) for f, b in retry_regions(read, extract(read))], columns=["panel_id", "field", "box"])
+    def read(panels: Panels) -> tuple[list, ...]:
+        found = extract_all([x for _, x in panels])
+        return _columns([(p, f, b) for (p, x), some in zip(panels, found, strict=True) for f, b in retry_regions(x, some)], 2)
 
-    return _dealt(lines, "panel_id").groupBy("panel_id").applyInPandas(one, f"panel_id bigint, field string, box {BOX}")
+    return _by_panel(lines, read, "panel_id bigint, field string")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -84,7 +116,6 @@ def extract_texts(rows: DataFrame, text: str, confidence: str, field: str, prove
 
     provenance: the pass name that the line carries, or None; with one, weak readings are refused.
     """
-    from pyspark.sql import functions as F
     from pyspark.sql.types import StringType, StructField, StructType
 
     schema = StructType([*rows.schema.fields, StructField(out, StringType())])

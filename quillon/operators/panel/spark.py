@@ -1,8 +1,8 @@
 """Panel extraction over DataFrames.
 
-A panel is one group of tens to hundreds of lines; panels are independent, so they are dealt by panel_id, sorted, and
-read from Arrow batches in one pass, all complete panels of a batch at once.  Row clustering is an order-dependent fold and
-label matching needs spans and a word similarity that built-in functions lack, hence the Python function.
+A panel is one group of tens to hundreds of lines; panels are independent.  Panels of equal lines meet and are read once.
+Lines come from Arrow batches in one pass, some thousand at once.  Row clustering is an order-dependent fold and label
+matching needs spans and a word similarity that built-in functions lack, hence the Python function.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .geometry import Box, Line
 
 CORNERS = ("x1", "y1", "x2", "y2")
 #: Lines of panels that are read at once.
-AT_ONCE = 10_000
+AT_ONCE = 4_000
 
 
 def _text(x):
@@ -36,11 +36,11 @@ def _sure(x: float | None) -> float:
     return float("nan") if x is None else x
 
 
-def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int, Line]]:
-    """A batch's lines, each with its panel."""
-    for panel, place, text, confidence, tokens, block, source, *box in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int, list[int] | None, Line]]:
+    """A batch's lines, each with its group; the first of a group has the group's panels."""
+    for group, ids, place, text, confidence, tokens, block, source, *box in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         said = [(t["text"], t["confidence"], t["box"] and _box(*(t["box"][c] for c in CORNERS))) for t in tokens or ()]
-        yield panel, Line(place, text or "", _sure(confidence), _box(*box), said, block or None, source or None)
+        yield group, ids, Line(place, text or "", _sure(confidence), _box(*box), said, block or None, source or None)
 
 
 def _dealt(rows: DataFrame, *by: str) -> DataFrame:
@@ -48,60 +48,53 @@ def _dealt(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-Panels = list[tuple[int, list[Line]]]
+def _by_panel(lines: DataFrame, read: Callable[[list[list[Line]]], list[list[tuple]]], told: dict[str, pa.DataType]) -> DataFrame:
+    """What `read` tells of each panel: rows of the columns `told`, which end in a box."""
+    kind = pa.struct([*told.items(), *((c, pa.int32()) for c in CORNERS)])
 
-
-def _by_panel(lines: DataFrame, read: Callable[[Panels], tuple[list, ...]], schema: str) -> DataFrame:
-    """What `read` tells of panels: columns of `schema`, then the corners of a box, which become the column box."""
-    names = [*(part.split()[0] for part in schema.split(", ")), *CORNERS]
-
-    def told(panels: Panels) -> pa.RecordBatch:
-        kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
-        types = [*(kinds[part.split()[1]] for part in schema.split(", ")), *[pa.int32()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(read(panels), types, strict=True)], names)
+    def answer(panels: list[tuple[list[int], list[Line]]]) -> pa.RecordBatch:
+        found = [[dict(zip(kind.names, (*r[:-1], *(map(int, r[-1]) if r[-1] else (None,) * 4)), strict=True)) for r in rows] for rows in read([x for _, x in panels])]
+        return pa.RecordBatch.from_arrays([pa.array([ids for ids, _ in panels], pa.list_(pa.int64())), pa.array(found, pa.list_(kind))], ["ids", "found"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        panels, waiting = [], 0
+        panels, group, waiting = [], None, 0
         for batch in batches:
-            for panel, line in _lines(batch):
-                if not panels or panels[-1][0] != panel:
+            for mine, ids, line in _lines(batch):
+                if mine != group:
                     if waiting >= AT_ONCE:
-                        yield told(panels)
+                        yield answer(panels)
                         panels, waiting = [], 0
-                    panels.append((panel, []))
+                    panels.append((ids, []))
+                    group = mine
                 panels[-1][1].append(line)
                 waiting += 1
         if panels:
-            yield told(panels)
-
-    rows = lines.select("panel_id", "line_idx", "text", F.col("confidence").cast("double"), "tokens", "block_id", "source_pass", *(f"box.{c}" for c in CORNERS))
-    out = _dealt(rows, "panel_id").sortWithinPartitions("panel_id", "line_idx").mapInArrow(run, f"{schema}, " + ", ".join(f"{c} int" for c in CORNERS))
-    return out.select(*names[:-4], F.when(F.col("x1").isNotNull(), F.struct(*CORNERS)).cast(BOX).alias("box"))
-
+            yield answer(panels)
 
-def _columns(rows: list[tuple], n: int) -> tuple[list, ...]:
-    """Rows that end in a box, as columns."""
-    nowhere = (None,) * 4
-    flat = [(*r[:-1], *(map(int, r[-1]) if r[-1] else nowhere)) for r in rows]
-    return tuple(map(list, zip(*flat, strict=True))) if flat else tuple([] for _ in range(n + 4))
+    line = F.struct("line_idx", "text", F.col("confidence").cast("double").alias("confidence"), "tokens", "block_id", "source_pass", *(F.col(f"box.{c}").alias(c) for c in CORNERS))
+    panels = _dealt(lines.select("panel_id", line.alias("line")), "panel_id").groupBy("panel_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    equal = _dealt(panels.groupBy("lines").agg(F.collect_list(F.struct("panel_id")).alias("ids")), "lines").select(F.monotonically_increasing_id().alias("group"), "ids.panel_id", "lines")
+    rows = equal.select("group", "panel_id", F.posexplode("lines").alias("at", "line")).select("group", F.when(F.col("at") == 0, F.col("panel_id")).alias("ids"), "line.*")
+    names = {pa.int64(): "bigint", pa.string(): "string", pa.float64(): "double", pa.int32(): "int"}
+    found = rows.mapInArrow(run, f"ids array<bigint>, found array<struct<{','.join(f'{x.name}:{names[x.type]}' for x in kind)}>>")
+    out = found.select(F.explode("ids").alias("panel_id"), "found").select("panel_id", F.inline("found"))
+    return out.select("panel_id", *told, F.when(F.col("x1").isNotNull(), F.struct(*CORNERS)).cast(BOX).alias("box"))
 
 
 def extract_panels(lines: DataFrame) -> DataFrame:
     """panel_lines -> a row for each panel and declared field, as evidence."""
 
-    def read(panels: Panels) -> tuple[list, ...]:
-        found = extract_all([x for _, x in panels])
-        return _columns([(p, f, e.value, e.confidence, e.box) for (p, _), some in zip(panels, found, strict=True) for f, e in some.items()], 4)
+    def read(panels: list[list[Line]]) -> list[list[tuple]]:
+        return [[(f, e.value, e.confidence, e.box) for f, e in found.items()] for found in extract_all(panels)]
 
-    return _by_panel(lines, read, "panel_id bigint, field string, value string, confidence double")
+    return _by_panel(lines, read, {"field": pa.string(), "value": pa.string(), "confidence": pa.float64()})
 
 
 def retries(lines: DataFrame) -> DataFrame:
-    def read(panels: Panels) -> tuple[list, ...]:
-        found = extract_all([x for _, x in panels])
-        return _columns([(p, f, b) for (p, x), some in zip(panels, found, strict=True) for f, b in retry_regions(x, some)], 2)
+    def read(panels: list[list[Line]]) -> list[list[tuple]]:
+        return [retry_regions(x, found) for x, found in zip(panels, extract_all(panels), strict=True)]
 
-    return _by_panel(lines, read, "panel_id bigint, field string")
+    return _by_panel(lines, read, {"field": pa.string()})
 
 
 @lru_cache(maxsize=1 << 16)

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...schemas import BOX, FIELDS
@@ -43,7 +43,7 @@ def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int, list[int] | None, Line]
         yield group, ids, Line(place, text or "", _sure(confidence), _box(*box), said, block or None, source or None)
 
 
-def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+def _dealt(rows: DataFrame, *by: str | Column) -> DataFrame:
     """Rows over all shuffle partitions: reading costs far more than their bytes tell, so partitions must not be merged by size."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
@@ -73,7 +73,8 @@ def _by_panel(lines: DataFrame, read: Callable[[list[list[Line]]], list[list[tup
 
     line = F.struct("line_idx", "text", F.col("confidence").cast("double").alias("confidence"), "tokens", "block_id", "source_pass", *(F.col(f"box.{c}").alias(c) for c in CORNERS))
     panels = _dealt(lines.select("panel_id", line.alias("line")), "panel_id").groupBy("panel_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    equal = _dealt(panels.groupBy("lines").agg(F.collect_list(F.struct("panel_id")).alias("ids")), "lines").select(F.monotonically_increasing_id().alias("group"), "ids.panel_id", "lines")
+    # Dealt by a hash: Spark leaves out a second dealing by the lines themselves, and then merges partitions.
+    equal = _dealt(panels.groupBy("lines").agg(F.collect_list(F.struct("panel_id")).alias("ids")), F.xxhash64("lines")).select(F.monotonically_increasing_id().alias("group"), "ids.panel_id", "lines")
     rows = equal.select("group", "panel_id", F.posexplode("lines").alias("at", "line")).select("group", F.when(F.col("at") == 0, F.col("panel_id")).alias("ids"), "line.*")
     names = {pa.int64(): "bigint", pa.string(): "string", pa.float64(): "double", pa.int32(): "int"}
     found = rows.mapInArrow(run, f"ids array<bigint>, found array<struct<{','.join(f'{x.name}:{names[x.type]}' for x in kind)}>>")

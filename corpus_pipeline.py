@@ -1,34 +1,43 @@
-"""Training corpus from documents: five stages, each reading what the one before has written."""
+"""Training corpus from documents: five stages, each reading what the one before has written.
+
+The stages share executors and their Python workers, which live on and keep what they have touched; so each lowers what a task
+holds at a time (modest).  That is a setting of the session and stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from quillon.llm.common import materialise, read_table
+from quillon.llm.common import materialise, modest, read_table
 from quillon.llm.queries import tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network rejects go.  It learns from all labelled documents, not only those of docs."""
+    modest(spark)
     net = quality.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, net)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest(spark)
     return exact_dedup.drop_exact(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents link from a similarity of 0.85 on, as in op2; drop_near takes others."""
+    modest(spark)
     return near_dedup.drop_near(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest(spark)
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest(spark)
     return packing.pack(docs, tokenizer_path())
 
 

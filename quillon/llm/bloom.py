@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import materialise, mix64, release, tidied
 
@@ -157,17 +158,24 @@ def members(keys: DataFrame, column: str) -> list[Block]:
     return out
 
 
-def picked(df: DataFrame, filters: list[Block], keys_of: Callable[[pa.RecordBatch], np.ndarray], inside: bool) -> DataFrame:
-    """The rows whose key some filter holds (perhaps falsely), or those whose key surely none holds; nothing shuffles."""
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def picked(df: DataFrame, filters: list[Block], keys_of: Callable[[pa.RecordBatch], np.ndarray], inside: bool, then: tuple[Step, StructType | str] | None = None) -> DataFrame:
+    """The rows whose key some filter holds (perhaps falsely), or those whose key surely none holds; nothing shuffles.
+
+    then: a step for the picked rows and its schema.  It runs in the same worker: two Python nodes in a row would take two for each task.
+    """
+    step, schema = then or (lambda batches: batches, df.schema)
 
     def one(block: Block) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = keys_of(batch)
                 hit = block.contains(keys)
                 yield batch.filter(pa.array(block.mine(keys) & (hit if inside else ~hit)))
 
-        return df.mapInArrow(tidied(run), df.schema)
+        return df.mapInArrow(tidied(lambda batches: step(hits(batches))), schema)
 
     out = one(filters[0])
     for block in filters[1:]:

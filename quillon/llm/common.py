@@ -17,12 +17,25 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step holds; bounds a worker's memory whatever the Arrow batch size.
 SLICE_BYTES = 2 << 20
+#: Under modest(): bytes of one Arrow batch, a little less than a slice, and rows of one batch of the Parquet reader.
+BATCH_BYTES = 31 << 16
+READER_ROWS = 512
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def modest(spark: SparkSession) -> None:
+    """Lower what a task holds of a table at a time, in the JVM and in its Python worker; a session's smaller settings stay.
+
+    Rows and results are the same.  Spark's own values are 64 MB and 4096 rows, whose buffers (doubled as they fill) an executor keeps.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > most:
+            spark.conf.set(name, most)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names.  Only a session of one machine may do without (tests): it gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)

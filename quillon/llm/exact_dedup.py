@@ -115,9 +115,10 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array(digests(batch.column(text_at)), pa.binary())], [*batch.schema.names, sha])
+            if batch.num_rows:
+                yield pa.record_batch([*batch.columns, pa.array(digests(batch.column(text_at)), pa.binary())], [*batch.schema.names, sha])
 
-    maybe = bloom.picked(docs, filters, id_of, True).mapInArrow(tidied(hashed), StructType([*docs.schema.fields, StructField(sha, BinaryType())]))
+    maybe = bloom.picked(docs, filters, id_of, True, (hashed, StructType([*docs.schema.fields, StructField(sha, BinaryType())])))
     gone = changed.where("goes").select(id_, F.col(sha).alias(sha + "_gone"))
     kept = maybe.join(gone, (F.col(sha) == F.col(sha + "_gone")) & F.col(id_col).cast("long").eqNullSafe(F.col(id_)), "left_anti")
     return bloom.picked(docs, filters, id_of, False).unionByName(kept.dropDuplicates([sha, id_col]).select(*docs.columns))

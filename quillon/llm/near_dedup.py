@@ -160,8 +160,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
             yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["doc_id", "shingles"])
 
     key = lambda batch: batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
-    wanted = bloom.picked(id_text(docs, id_col, text_col), bloom.members(ids, ids.columns[0]), key, True)
-    return materialise(wanted.mapInArrow(tidied(run), "doc_id long, shingles array<long>"), "sets")
+    wanted = bloom.picked(id_text(docs, id_col, text_col), bloom.members(ids, ids.columns[0]), key, True, (run, "doc_id long, shingles array<long>"))
+    return materialise(wanted, "sets")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

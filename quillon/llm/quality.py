@@ -217,7 +217,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     c = F.col("label_id")
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).where(c.isNotNull() & F.col("label").isin(0, 1) & ~held_out(c))
     pick = known.groupBy("label_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64(c), c).limit(most)
-    few = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in pick.collect()], "label_id long, label int"))  # `most` rows at most
+    told = pick.collect()  # `most` rows at most; as an Arrow table they take no Python workers, as a list they would
+    few = pa.table([pa.array([r[k] for r in told], kind) for k, kind in enumerate((pa.int64(), pa.int32()))], ["label_id", "label"])
+    few = F.broadcast(docs.sparkSession.createDataFrame(few))
     rows = id_text(docs, id_col, text_col).join(few, F.col("doc_id") == c).select("doc_id", "label", F.coalesce("text", F.lit(b"")).alias("text"))
     return materialise(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
 
